@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, packing, quality, sentences, sharding
+from . import contamination, html, langid, minhash, packing, pii, quality, sentences, sharding, substrings
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sys.path.append(top)
     return {
         "op1_quality_trees": quality.query,
+        "op2_html_templates": html.query,
         "op3_packing": packing.query,
         "op4_language_spans": langid.query,
+        "op5_personal_data": pii.query,
+        "op6_suffix_dedup": substrings.query,
         "op7_decontamination": contamination.query,
         "op8_sentence_spans": sentences.query,
+        "op9_near_duplicates": minhash.query,
         "op10_sharding": sharding.query,
+        "pipeline": pipeline,
     }
 
 

@@ -6,7 +6,7 @@ class needs to stand only in the inverted lists of its rarest values, as many as
 their pairs. A long list gives no pairs: its members ("crowded" classes) are indexed again by their full sets, where the
 rarest values up to the exact bound suffice, and in a list that is still long each member is paired with the member that
 has fewest shingles of its own; only members that don't turn out linked to it are then paired with others, as far as
-sizes and shingles that no other set has allow. Candidates are estimated on the sketch of their union, then verified on
+sizes and places in the lists' common order allow. Candidates are estimated on the sketch of their union, then verified on
 full sets. Components come from alternating large-star and small-star steps on the verified links.
 
 Defined results: a null text, an empty one and one without words have an empty set, are linked with nothing and stay;
@@ -102,12 +102,12 @@ def _rarest(lists: DataFrame, size: Column, share: float) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
-    """(a, b) with a < b of the members of a list, as far as their sizes and own values let them be similar."""
-    x = left.select("value", F.col("c").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"))
-    y = right.select("value", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    common = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    union = F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"), F.col("na"), F.col("nb"))
-    met = x.join(y, "value").where((F.col("a") != F.col("b")) & (common >= share * union))
+    """(a, b) with a < b of the members of a list, as far as their sizes and places let them be similar."""
+    x = left.select("value", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = right.select("value", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # in the list of the first value that two sets share, neither shares what comes before it in the common order
+    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    met = x.join(y, "value").where((F.col("a") != F.col("b")) & (common >= share * (F.col("na") + F.col("nb") - common) - 1e-6))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -180,8 +180,8 @@ def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
     sketches = _members(docs, words, sketches=True).select("c", "n", F.explode("values").alias("value"))
     listed = cut(_rarest(sketches, F.least("n", F.lit(SKETCH)), floor))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("length"))
-    # own values of a sketch say nothing certain of the full set
-    short = listed.withColumn("own", F.lit(0)).join(lengths.where(F.col("length").between(2, LONG)), "value")
+    # places in a sketch say nothing certain of the full set
+    short = listed.withColumn("at", F.lit(1)).join(lengths.where(F.col("length").between(2, LONG)), "value")
     near = cut(_pairs(short, short.where("true"), share))
     crowd = cut(listed.join(lengths.where(F.col("length") > LONG), "value").select("c").distinct())
     wanted = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).unionByName(crowd).distinct()

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import data_tests
+from . import relational
+
 FLAGSHIP = "pricing_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return relational.queries() | data_tests.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.oracle_sql() | data_tests.oracle_sql()

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import data_tests
+from ..operators import data_tests, lint
 from . import relational
 
 FLAGSHIP = "pricing_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.queries() | data_tests.queries()
+    return relational.queries() | data_tests.queries() | lint.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -209,3 +209,26 @@ def repeated(parts: list[bytes], starts: list[int], width: int) -> list[np.ndarr
     out = np.zeros(len(text) + 1, bool)
     out[sa[hit]] = True
     return [out[b : b + k] for b, k in zip(begin, starts, strict=True)]
+
+
+def repeated_by_hash(parts: list[bytes], starts: list[int], width: int) -> list[np.ndarray]:
+    """As ``repeated``, for a shard too large to sort in memory: windows are told by a hash, 8 bytes for each, and those
+    whose hashes meet are compared as bytes."""
+    longest = max(map(len, parts), default=0)
+    p = powers(longest + 2)
+    values, total = [], np.concatenate([[0], np.cumsum(starts)])
+    for part, k in zip(parts, starts, strict=True):
+        h = _prefix_hash(np.frombuffer(part, np.uint8))
+        at = np.arange(k)
+        values.append((h[at + width] - h[at]) * p[longest - at])
+    value = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    order = np.argsort(value, kind="stable")
+    meets = np.flatnonzero(value[order[1:]] == value[order[:-1]])
+    hit = np.zeros(len(value), bool)
+    owner = np.searchsorted(total, order, side="right") - 1
+    for i in meets.tolist():
+        (a, b), (x, y) = (owner[i], owner[i + 1]), (order[i], order[i + 1])
+        u, v = int(x - total[a]), int(y - total[b])
+        if parts[a][u : u + width] == parts[b][v : v + width]:
+            hit[x] = hit[y] = True
+    return [hit[total[i] : total[i + 1]] for i in range(len(parts))]

@@ -125,6 +125,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for key, lo, hi in cuts:
                     own = b[lo : hi + WIDTH - 1].tobytes()
                     rows.append((key, id_, h, lo, hi - lo, w["alone"], w["loop"], xxhash.xxh3_64_intdigest(own) - 2**63, own))
+                if len(rows) > 2000:
+                    yield _columns(rows, PIECES)
+                    rows = []
         yield _columns(rows, PIECES)
 
 
@@ -138,27 +141,44 @@ def _stretches(hit: np.ndarray, lo: int) -> list[tuple[int, int]]:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What repeats within the shards of a task; their bytes are sorted together up to ``SHARD_BYTES`` at a time."""
+    """What repeats within the shards of a task; small shards are sorted together."""
 
-    def done(rows: list[dict]) -> pa.RecordBatch:
-        hits = induced.repeated([r["bytes"] for r in rows], [r["asked"] for r in rows], WIDTH)
+    def done(rows: list[dict], find=induced.repeated) -> pa.RecordBatch:
+        hits = find([r["bytes"] for r in rows], [r["asked"] for r in rows], WIDTH)
         return _columns([(r["id"], r["h"], a, b) for r, hit in zip(rows, hits, strict=True) if r["alone"] for a, b in _stretches(hit, r["lo"])], COVERED)
 
-    held: list[dict] = []
-    size = 0
+    held: list[dict] = []  # whole shards
+    shard: list[dict] = []  # the one that is being read
+    held_bytes = size = 0
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal held, held_bytes, shard, size
+        if size > LARGE_SHARD:
+            yield done(shard, induced.repeated_by_hash)
+        else:
+            if held_bytes + size > SHARD_BYTES and held:
+                yield done(held)
+                held, held_bytes = [], 0
+            held += shard
+            held_bytes += size
+        shard, size = [], 0
+
     for batch in batches:
         for r in batch.to_pylist():
-            if size > SHARD_BYTES and r["shard"] != held[-1]["shard"]:
-                yield done(held)
-                held, size = [], 0
-            held.append(r)
+            if shard and r["shard"] != shard[-1]["shard"]:
+                yield from ended()
+            shard.append(r)
             size += len(r["bytes"])
+    if shard:
+        yield from ended()
     if held:
         yield done(held)
 
 
 #: Whole shards are sorted together until they hold so many bytes.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
+#: A single shard of more bytes than this isn't sorted in memory; its windows are told by their hashes and compared.
+LARGE_SHARD = 4_000_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

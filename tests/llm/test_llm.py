@@ -165,6 +165,15 @@ def test_suffix_array():
         assert induced.suffix_array(np.array(t), 10**6).tolist() == sorted(range(len(t) + 1), key=lambda i: [*t, 0][i:])
 
 
+def test_windows_by_hash():
+    rng = random.Random(2)
+    for _ in range(50):
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 40))) for _ in range(rng.randint(1, 6))]
+        starts = [rng.randint(0, len(p) - 5) for p in parts]
+        a, b = (f(parts, starts, 6) for f in (induced.repeated, induced.repeated_by_hash))
+        assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
 def test_queue_spills():
     q = induced.RunQueue(3, budget=10)
     for k in range(20):
@@ -194,10 +203,11 @@ def test_substrings(spark, monkeypatch):
     for _ in range(60):  # a crowd of near copies
         i = rng.randint(0, 690)
         texts.append(shared[0][:i] + "Z" + shared[0][i + 1 :])
+    want = removed_by_force(texts)
     for crowd in (48, 2):
         monkeypatch.setattr(substrings, "CROWD", crowd)
         got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(docs_of(spark, texts)).collect()}
-        assert [got[i] for i in range(len(texts))] == removed_by_force(texts)
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def groups_by_force(texts, n, percent):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +13,8 @@ from pyspark.sql import Window as W
 #: The six ASCII white-space characters that end a word, as in ``[^\x20\x09-\x0D]+``; bytes.split() uses the same set.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: A Python worker takes rows together up to so many bytes.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +62,17 @@ def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once for a row: the optimizer would repeat it at each use, in a lambda even
     for each element."""
     return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, in batches of at most ``BATCH_BYTES`` or of one row, so that what a worker makes of
+    a batch is bounded."""
+    for batch in batches:
+        rest = [batch]
+        while rest:
+            x = rest.pop()
+            if x.num_rows > 1 and x.nbytes > BATCH_BYTES:
+                half = x.num_rows // 2
+                rest += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x

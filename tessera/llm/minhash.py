@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, table
+from .common import bounded, cut, table
 
 SKETCH = 64
 #: A pair as similar as wanted shares this much less of its sketch values at least, but for one pair in a million.
 SLACK = 0.29
 #: Longer inverted lists don't give all their pairs.
 LONG = 32
+#: Shingles of the sets that a worker remembers while it verifies pairs.
+HELD = 1_500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -72,7 +74,7 @@ def _members(docs: DataFrame, words: int, sketches: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        for batch in batches:
+        for batch in bounded(batches):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             classes = [class_of(s) if len(s) else None for s in sets]
             if not sketches:
@@ -118,20 +120,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(c: int, z: bytes) -> np.ndarray:
+            nonlocal held
+            if c not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[c] = shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words)
+                held += len(sets[c])
+            return sets[c]
+
+        for batch in bounded(batches):
             columns = [batch.column(i).to_pylist() for i in range(4)]
-            ok = []
-            for a, b, za, zb in zip(*columns, strict=True):
-                for c, z in ((a, za), (b, zb)):
-                    if c not in sets:
-                        if len(sets) > 4000:
-                            sets.clear()
-                        sets[c] = shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words)
-                for c, z in ((a, za), (b, zb)):  # either may have gone meanwhile
-                    if c not in sets:
-                        sets[c] = shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words)
-                ok.append(similar(sets[a], sets[b], percent))
+            ok = [similar(of(a, za), of(b, zb), percent) for a, b, za, zb in zip(*columns, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
@@ -189,7 +193,7 @@ def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in bounded(batches):
             sets = [shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words) for z in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_long(s) for s in sets], pa.list_(pa.int64()))], ["c", "n", "values"])
 
@@ -223,7 +227,7 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in bounded(batches):
             texts = batch.column(0).to_pylist()
             sets = [shingle_set(t, words) for t in texts]
             some = [i for i, s in enumerate(sets) if len(s)]

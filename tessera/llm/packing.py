@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, spread_rank, table
+from .common import bounded, cut, spread_rank, table
 
 LENGTH = 1024
 #: A worker's memory of chunks that it has encoded is emptied at this size.
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in bounded(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.bytes(text or "") + b"\0\0\0\0"
@@ -90,6 +90,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int =
                 rows += [(doc, at, min(length, n - at), zlib.crc32(memoryview(ids)[4 * at : 4 * (at + length)]), n) for at in range(0, n, length)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in PIECES.split(", ")])
+        enc.later.clear()  # the worker may go on to other stages
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, bounded, table
 
 #: Most labelled documents that the trees are grown from; more are cut to this many by the order of a hash of the id.
 TRAINING_ROWS = 20_000
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Fores
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__good", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = [measure(t)[5] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"])
 
@@ -192,7 +192,7 @@ def verdicts(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """One row for each document row: counts, base rule, verdict, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             counts, failed, kept, score = judge(batch.column(1).to_pylist(), forest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(failed), pa.array(kept), pa.array(score)], [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -204,7 +204,7 @@ def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield batch.filter(pa.array(judge(batch.column(at).to_pylist(), forest)[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import analysis, data_tests, lint
+from ..operators import analysis, data_tests, editor, lint, rendering
 from . import relational
 
 FLAGSHIP = "pricing_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.queries() | data_tests.queries() | lint.queries() | analysis.queries()
+    return relational.queries() | data_tests.queries() | lint.queries() | analysis.queries() | rendering.queries() | editor.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | data_tests.oracle_sql() | analysis.oracle_sql()
+    return relational.oracle_sql() | data_tests.oracle_sql() | analysis.oracle_sql() | rendering.oracle_sql() | editor.oracle_sql()

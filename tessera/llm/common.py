@@ -36,10 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's own setting for the bytes of a batch that it sends to a Python worker.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    """Computes ``df`` once into the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    Meanwhile Spark sends Python workers batches of at most ``BATCH_BYTES``: its writer, the stream and the worker each
+    hold a batch, for all tasks of an executor. Only batches differ, not rows.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_BYTES)
+    conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(ARROW_BYTES, before)
 
 
 def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, salts: int = 256) -> DataFrame:

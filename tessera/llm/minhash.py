@@ -36,6 +36,8 @@ SLACK = 0.29
 LONG = 32
 #: Shingles of the sets that a worker remembers while it verifies pairs.
 HELD = 1_500_000
+#: Shingles that a worker returns at once: texts that repeat themselves are far longer than what they are compressed to.
+LISTED = 250_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -177,6 +179,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _lists(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    values = pa.array([_long(s) for _, _, s in held], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([n for _, n, _ in held], pa.int32()), values], ["c", "n", "values"])
+
+
 def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
     members = cut(_members(docs, words, sketches=False))
@@ -194,8 +201,15 @@ def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in bounded(batches):
-            sets = [shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words) for z in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_long(s) for s in sets], pa.list_(pa.int64()))], ["c", "n", "values"])
+            held: list[tuple[int, int, np.ndarray]] = []
+            size = 0
+            for c, n, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((c, n, shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), words)))
+                size += len(held[-1][2])
+                if size > LISTED:
+                    yield _lists(held)
+                    held, size = [], 0
+            yield _lists(held)
 
     full = texts.join(crowd, "c", "left_semi").select("c", "n", "z").mapInArrow(run, "c long, n int, values array<long>").select("c", "n", F.explode("values").alias("value"))
     deep = cut(_rarest(full, F.col("n"), share))

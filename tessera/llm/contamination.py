@@ -62,8 +62,8 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return each.select("item_id", "__text", "shingle", n.alias("n"), (rank <= n - _needed(n) + 1).alias("sketched"))
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item) of each document and item that it holds."""
+def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, __doc: hash of its text, item_id, __text, n, n_shared) of each text and item text that it holds."""
     index = item_shingles(items)
     if index.count() <= BROADCAST_SHINGLES:
         index = F.broadcast(index)
@@ -72,15 +72,20 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     each = own.select("doc_id", "__doc", "__part", F.explode("__s").alias("shingle"))
     met = each.join(index, (each["shingle"] == index["shingle"]) & (F.col("__part") >= F.floor(F.log2(_needed(F.col("n")) + F.lit(0.5)))))
     found = met.groupBy("doc_id", "__doc", "item_id", "__text", "n").agg(F.countDistinct(index["shingle"]).alias("n_shared"), F.max("sketched").alias("sketched"))
-    found = found.where(F.col("sketched") & (F.col("n_shared") >= _needed(F.col("n"))))
+    return found.where(F.col("sketched") & (F.col("n_shared") >= _needed(F.col("n")))).drop("sketched")
+
+
+def search(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of each document and item that it holds."""
+    found = _held(docs, items)
     best = F.max_by(F.struct("n_shared", F.col("n").alias("n_item")), F.struct(F.col("n_shared") / F.col("n"), "n"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_shared").alias("n_shared"), F.col("b.n_item").alias("n_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id holds no item."""
-    held = search(docs, items).select("doc_id").distinct()
-    return docs.join(held.select(F.col("doc_id").alias("__held")), docs["doc_id"].cast("long").eqNullSafe(F.col("__held")), "left_anti")
+    """The rows of ``docs`` whose text holds no item; ids may repeat or be null."""
+    held = _held(docs, items).select(F.col("doc_id").alias("__held"), "__doc").distinct()
+    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("__held")) & (F.xxhash64(docs["text"]) == F.col("__doc")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ full sets. Components come from alternating large-star and small-star steps on t
 
 Defined results: a null text, an empty one and one without words have an empty set, are linked with nothing and stay;
 texts with fewer words than a shingle have one shingle, all their words; rows that repeat a doc_id are one node of the
-graph for each text; null ids are never the smallest of a group unless all are null; other columns don't matter. Sets are
-told by a 64-bit hash with their size.
+graph for each text; null ids are never the smallest of a group unless all are null; one row of each group is kept, of the
+smallest id and then text hash, also where ids repeat or are null; other columns don't matter. Sets are told by a 64-bit hash
+with their size.
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ def _long(s: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame, words: int, sketches: bool) -> DataFrame:
-    """(doc_id, c: class, n) of each row; with ``sketches`` (c, n, values) of each class, once or so for a partition."""
-    schema = "c long, n int, values array<long>" if sketches else "doc_id long, c long, n int"
+    """(doc_id, h: of the text, c: class, n) of each row; with ``sketches`` (c, n, values) of each class, once or so for a
+    partition."""
+    schema = "c long, n int, values array<long>" if sketches else "doc_id long, h long, c long, n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -80,14 +82,14 @@ def _members(docs: DataFrame, words: int, sketches: bool) -> DataFrame:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             classes = [class_of(s) if len(s) else None for s in sets]
             if not sketches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "c", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "h", "c", "n"])
                 continue
             if len(told) > 1_000_000:
                 told.clear()
             fresh = [i for i, c in enumerate(classes) if c is not None and c not in told and not told.add(c)]
             yield pa.RecordBatch.from_arrays([pa.array([classes[i] for i in fresh], pa.int64()), pa.array([len(sets[i]) for i in fresh], pa.int32()), pa.array([_long(sets[i][:SKETCH]) for i in fresh], pa.list_(pa.int64()))], ["c", "n", "values"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *([] if sketches else [F.xxhash64("text").alias("h")])).mapInArrow(run, schema)
 
 
 def _rarest(lists: DataFrame, size: Column, share: float) -> DataFrame:
@@ -185,8 +187,14 @@ def _lists(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
-    members = cut(_members(docs, words, sketches=False))
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``; one row of each group is kept."""
+    return _grouped(docs, words, share).drop("h")
+
+
+def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """(doc_id, h: of the text, n_shingles, component_id, kept) of each row of ``docs``."""
+    # once computed, a row's number tells it from equal rows
+    members = cut(_members(docs, words, sketches=False).withColumn("row", F.monotonically_increasing_id()))
     floor = share - SLACK
     sketches = _members(docs, words, sketches=True).select("c", "n", F.explode("values").alias("value"))
     listed = cut(_rarest(sketches, F.least("n", F.lit(SKETCH)), floor))
@@ -224,13 +232,14 @@ def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
     alone = crowded.where(F.col("c") != F.col("hub")).withColumn("__l", F.struct(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b"))).join(linked, "__l", "left_anti").select(*crowded.columns)
     more = _verified(_pairs(alone, crowded.where(F.col("c") != F.col("hub")), share), texts, words, share)
     roots = components(links.unionByName(more))
-    classes = members.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
+    classes = members.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("least"))
     rooted = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("c", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.select("c", "root").join(least, "root").select("c", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"))
     out = members.join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("c").isNull() | (F.col("row") == F.col("first"))
+    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -251,9 +260,14 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does."""
-    gone = groups(docs, words, share).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay when one row of each group does; of equal rows that with the least other columns."""
+    # the ids and texts of which a row goes; of those where one is kept, one stays
+    gone = _grouped(docs, words, share).groupBy("doc_id", "h").agg(F.min("kept").alias("all"), F.max("kept").alias("one")).where(~F.col("all"))
+    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "one"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    whole = docs.join(gone, same, "left_anti")
+    equal = docs.join(gone.where("one"), same).groupBy("__id", "__h").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
+    return whole.unionByName(equal.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,19 @@ def test_near_duplicates(spark, monkeypatch, n, share, long):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d, own, other = ("".join(f"{k}{i} " for i in range(40)) for k in ("a", "b", "c", "d", "own", "other"))
+    # a: null id beside an id; b: null ids only; c: one id repeated; d: equal rows beside a greater id; 7 with two texts
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, c), (3, d), (3, d), (4, d), (None, own), (7, other), (7, a), (None, None), (None, "")]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = Counter([(1, a), (None, b), (2, c), (3, d), (None, own), (7, other), (None, None), (None, "")])
+    assert Counter((r["doc_id"], r["text"]) for r in minhash.one_of_each(docs).collect()) == want
+    assert sum(r["kept"] for r in minhash.groups(docs).collect()) == len(want)
+    items = spark.createDataFrame([(5, own), (6, other)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in contamination.clean(docs, items).collect())
+    assert got == Counter(rows) - Counter([(None, own), (7, other)])
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["c"]: r["root"] for r in minhash.components(links).collect()}

@@ -166,11 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Fores
             rows = [measure(t)[5] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"])
 
-    got = some.mapInArrow(features, "good int, x array<double>").toPandas()
     # documents that share an id may be more than `limit`; keep their number bounded in the same order-free way
+    got = some.mapInArrow(features, "good int, x array<double>").orderBy(F.xxhash64("x", "good"), "good").limit(limit).toPandas()
     y, x = got["good"].to_numpy(dtype=float), np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, y))
-    if len(y) < 100 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     return grow(x[order], y[order])
 

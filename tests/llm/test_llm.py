@@ -63,6 +63,35 @@ def test_quality_query(spark):
     assert sum(got[d]["kept"] for d in good) >= 0.9 * len(good)
 
 
+@pytest.mark.parametrize(("good", "bad"), [(1, 1), (30, 30), (30, 0)])
+def test_trees_grow_from_few_labels(spark, good, bad):
+    docs = docs_of(spark, [f"plain words {i} of a text. " * 9 for i in range(good)] + [f"#$% |{i}| <> *** " * 9 for i in range(bad)])
+    labels = docs.selectExpr("doc_id", f"cast(doc_id < {good} AS int) AS quality")
+    forest = quality.fit(docs, labels)
+    assert (forest is not None) == (bad > 0)
+    if good > 20 and bad:  # leaves of at least 20 rows
+        got = [r["score"] >= 0.5 for r in quality.verdicts(docs, forest).orderBy("doc_id").collect()]
+        assert got == [True] * good + [False] * bad
+    assert quality.fit(docs, labels.limit(0)) is None
+
+
+def test_trees_of_repeated_ids_are_bounded(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: sizes.append(len(y)))
+    docs = docs_of(spark, [f"text {i} " * i for i in range(30)], [i % 2 for i in range(30)])
+    quality.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int"), limit=10)
+    assert sizes == [10]
+
+
+def test_quality_query_larger(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in quality.query(spark, sf).collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    good = [d for d, q in labels if q == 1 and not got[d]["base_failed"]]
+    assert sum(got[d]["kept"] for d in good) >= 0.9 * len(good)
+    assert any(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
 @pytest.mark.parametrize(
     "apply",
     [

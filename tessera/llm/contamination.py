@@ -6,8 +6,8 @@ has at least ``SHARE`` of the item's distinct shingles.
 The sketch of an item keeps its shingles of least hash, and how many depends on the item's size class: of n shingles it
 keeps the n - ceil(SHARE * n) + 1 least, so that a document holding the item must have one of them. (Banded signatures of
 long documents would need thousands of hash functions for the same: an item of 30 shingles has Jaccard 0.005 with a
-document of 5,000.) Documents are partitioned by size, and items are searched only in partitions large enough to hold
-them. What the sketch finds is verified by counting the item's distinct shingles in the
+document of 5,000.) Documents are partitioned by size, and the sketches are searched only in partitions large enough to hold
+their items. What the sketch finds is verified by counting the item's distinct shingles in the
 document; a shingle is told by a 64-bit hash of its words.
 
 Defined results: null or empty texts hold nothing and are held by nothing; a text of fewer than five words has one
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, table
+from .common import cut, let, table
 
 WORDS = 5
 SHARE = 0.8
-#: The item shingles are broadcast up to this many; more are joined by a shuffle.
+#: The sketched shingles and the candidates are each broadcast up to this many; more are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
 
 
@@ -62,17 +62,33 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return each.select("item_id", "__text", "shingle", n.alias("n"), (rank <= n - _needed(n) + 1).alias("sketched"))
 
 
-def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, __doc: hash of its text, item_id, __text, n, n_shared) of each text and item text that it holds."""
-    index = item_shingles(items)
-    if index.count() <= BROADCAST_SHINGLES:
-        index = F.broadcast(index)
+def _broadcast(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_SHINGLES else df
+
+
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, __doc: hash of its text, item_id, __text) of each text and item text of ``index`` that share a sketched
+    shingle, the document's size partition being large enough."""
+    sketches = _broadcast(index.where("sketched").select("item_id", "__text", "shingle", F.floor(F.log2(_needed(F.col("n")) + F.lit(0.5))).alias("__least")))
     # the size partition of a document is the power of two up to its number of shingles
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__doc"), F.inline(F.array(let(shingles(F.col("text")), lambda s: F.struct(F.floor(F.log2(F.size(s) + F.lit(0.5))).alias("__part"), s.alias("__s"))))))
     each = own.select("doc_id", "__doc", "__part", F.explode("__s").alias("shingle"))
-    met = each.join(index, (each["shingle"] == index["shingle"]) & (F.col("__part") >= F.floor(F.log2(_needed(F.col("n")) + F.lit(0.5)))))
-    found = met.groupBy("doc_id", "__doc", "item_id", "__text", "n").agg(F.countDistinct(index["shingle"]).alias("n_shared"), F.max("sketched").alias("sketched"))
-    return found.where(F.col("sketched") & (F.col("n_shared") >= _needed(F.col("n")))).drop("sketched")
+    return each.join(sketches, "shingle").where(F.col("__part") >= F.col("__least")).select("doc_id", "__doc", "item_id", "__text").distinct()
+
+
+def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, __doc: hash of its text, item_id, __text, n, n_shared) of each text and item text that it holds."""
+    index = item_shingles(items)
+    near = _broadcast(cut(candidates(docs, index)))
+    whole = index.groupBy(F.col("item_id").alias("__item"), F.col("__text").alias("__itext"), "n").agg(F.collect_list("shingle").alias("__all"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), "text")
+    pairs = texts.join(near, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__doc")))
+    # the document's shingles once for all items that it may hold
+    mine = pairs.groupBy("doc_id", "__doc").agg(F.any_value("text").alias("text"), F.collect_set(F.struct("item_id", "__text")).alias("__near"))
+    mine = mine.select("doc_id", "__doc", F.array_distinct(shingles(F.col("text"))).alias("__s"), F.explode("__near").alias("__near"))
+    met = mine.join(whole, F.col("__near.item_id").eqNullSafe(F.col("__item")) & (F.col("__near.__text") == F.col("__itext")))
+    found = met.select("doc_id", "__doc", F.col("__item").alias("item_id"), F.col("__itext").alias("__text"), "n", F.size(F.array_intersect("__s", "__all")).cast("long").alias("n_shared"))
+    return found.where(F.col("n_shared") >= _needed(F.col("n")))
 
 
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:

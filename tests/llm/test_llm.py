@@ -311,6 +311,23 @@ def test_sharding(spark):
     assert max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def test_sketches_find_the_candidates(spark):
+    rng = random.Random(11)
+    items = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(n)) for n in (3, 5, 12, 40, 90)]
+    texts = [None, *(f"before {x} after" for x in items)]
+    for x in items:
+        w = x.split()
+        texts += [" ".join(w[: len(w) * k // 10]) for k in range(1, 10)]
+    table_of = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs, index = docs_of(spark, texts), contamination.item_shingles(table_of)
+    near = {(r["doc_id"], r["item_id"]) for r in contamination.candidates(docs, index).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words(t) for t in [*texts, *items])]
+    want = {(d, i, len(sets[d] & s), len(s)) for i, s in enumerate(sets[len(texts) :]) for d in range(len(texts)) if 100 * len(sets[d] & s) >= 80 * len(s)}
+    shares = {(d, i) for i, s in enumerate(sets[len(texts) :]) for d in range(len(texts)) if sets[d] & s}
+    assert {(d, i) for d, i, *_ in want} <= near < shares
+    assert {tuple(r) for r in contamination.search(docs, table_of).collect()} == want
+
+
 @pytest.mark.parametrize("module", [sentences, contamination])
 def test_sql(spark, module):
     c = duckdb.connect()

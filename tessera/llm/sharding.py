@@ -1,13 +1,13 @@
 """Operator 10. Sharding as vector bin packing.
 
 Rows with equal texts form a group. Groups gather into a bounded number of packets by the hash of their text; a group of
-more than a packet's fair share is cut into several by the hash of its id. Each packet is a vector of bytes, tokens and
-rows. The driver places these (not the groups: their number is bounded) in falling order of their largest share, each on
+more than a packet's fair share is a packet of its own. Only a group larger than a shard is cut, into as many packets as
+shards it fills, by the hash of its rows' ids. Each packet is a vector of bytes, tokens and rows. The driver places these (not the groups: their number is bounded) in falling order of their largest share, each on
 the shard where the dot product of the vector with what room is left is highest, among those whose bytes stay in bounds.
 
 The law is ``bytes``: the sums of ``size`` of the shards are near equal; tokens and rows are balanced as far as that lets.
 Defined results: a null text counts as empty and has size 1; repeated rows each take a slot; without rows there is no
-result; a group stays on one shard unless it is larger than a packet.
+result; a group stays on one shard unless it has more than a shard's fair share of all bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import spread_rank, table
 
 SHARDS = 16
-#: Packets at most, large groups' pieces included: twice this number of vectors.
+#: Packets at most of small groups; with large ones twice this number of vectors, and one for each shard.
 PACKETS = 4096
 
 
@@ -53,7 +53,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, packets: int = PACKETS) -> Data
     total = groups.agg(F.sum("bytes").alias("n")).collect()[0]["n"] or 0
     fair = max(1, total // packets)
     # a large group holds more than a fair share of all bytes, so there are fewer of these than packets
-    large = {r["__h"]: int(r["bytes"] // fair) + 1 for r in groups.where(F.col("bytes") > fair).select("__h", "bytes").collect()}
+    full = max(1, -(-total // shards))
+    large = {r["__h"]: -(-int(r["bytes"]) // full) for r in groups.where(F.col("bytes") > fair).select("__h", "bytes").collect()}
     pieces = spark_map(docs.sparkSession, large, packets)
     keyed = rows.join(F.broadcast(pieces), "__h", "left").withColumn(
         "__packet",

@@ -311,6 +311,17 @@ def test_sharding(spark):
     assert max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def test_copies_stay_on_one_shard(spark):
+    texts = [f"copy {i % 20} " * 30 for i in range(400)] + [f"text {i}" for i in range(3000)] + ["one " * 400] * 60
+    got, rows = defaultdict(set), defaultdict(int)
+    for r in sharding.shard(docs_of(spark, texts)).collect():
+        got[texts[r["doc_id"]]].add(r["shard"])
+        rows[r["shard"]] += r["size"]
+    large = "one " * 400
+    assert len(large) * 60 > sum(rows.values()) / 16  # more than a shard
+    assert len(got.pop(large)) > 1 and all(len(x) == 1 for x in got.values())
+
+
 def test_sketches_find_the_candidates(spark):
     rng = random.Random(11)
     items = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(n)) for n in (3, 5, 12, 40, 90)]

@@ -113,9 +113,8 @@ def test_packing_round_trip(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).unionByName(docs_of(spark, [None, "a  b\n c", "d\n", "<|endoftext|> x"], [900, 901, 902, 903]).select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).unionByName(docs_of(spark, [None, "a  b\n c", "d\n", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endoftext", "<|endoftext|>"], range(900, 906)).select("doc_id", "text", "lang", "source", "n_chars"))
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
     rows = packing.pack(docs).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -181,6 +180,28 @@ def test_personal_data(spark):
         assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_added_spans(spark):
+    """Planted: true candidates that no base pattern has, and look-alikes of other meaning."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    true, texts = [], []
+    for i in range(600):
+        kind = i % 6
+        if kind < 3:
+            span = [f"({digits(3)}) {digits(3)}-{digits(4)}", f"{name()} (at) {name()} (dot) com", f"{name()}[at]{name()}.org"][kind]
+            head = ["Please call me: ", "Write a mail to ", "Contact me at: "][kind]
+        else:
+            span = [f"{digits(3)}-{digits(3)}-{digits(4)}", f"{name()}[at]{name()}", f"{name()}{{at}}x"][kind - 3]
+            head = ["isbn 9", "the version v", "order a/"][kind - 3]
+        texts.append(f"{name()} {name()}. {head}{span}{'.' if kind < 3 else '/x'} {name()}")
+        true.append({(len(f"{texts[-1].split(head)[0]}{head}"), len(f"{texts[-1].split(head)[0]}{head}{span}"))} if kind < 3 else set())
+    got = {r["doc_id"]: {tuple(map(int, x.split(":")[1:])) for x in filter(None, r["spans"].split(","))} for r in pii.detect(docs_of(spark, texts)).collect()}
+    found, wanted = sum(len(got[i]) for i in range(600)), sum(map(len, true))
+    right = sum(len(got[i] & true[i]) for i in range(600))
+    assert right >= 0.9 * wanted and right >= 0.9 * found, (right, wanted, found)
+
+
 def test_masking(spark):
     out = pii.mask(docs_of(spark, ["mail a@b.org now", "none", None])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["mail [EMAIL] now", "none", None]
@@ -280,6 +301,24 @@ def test_one_row_of_each_group_stays(spark):
     assert got == Counter(rows) - Counter([(None, own), (7, other)])
 
 
+@pytest.mark.parametrize("apply", [minhash.one_of_each, pii.mask, lambda d: contamination.clean(d, d.selectExpr("doc_id AS item_id", "text").limit(1))])
+def test_clashing_names(spark, apply):
+    docs = docs_of(spark, ["a b c d e f g h", "mail a@b.org now"] * 2)
+    for name in ("__held", "__gone", "__spans", "__doc", "__id", "held_id", "held_text", "gone_id", "gone_text", "gone_one", "gone_row", "found_spans", "item_id", "c", "n", "value", "row", "h"):
+        docs = docs.selectExpr("*", f"doc_id AS {name}")
+    out = apply(docs)
+    assert out.columns == docs.columns and out.count() > 0
+
+
+def test_a_class_has_one_text(spark):
+    docs = docs_of(spark, ["one two three four five six"] * 200, [None] * 100 + [7] * 100)
+    members = minhash._members(docs, 3)
+    wanted = members.select("c").distinct()
+    assert minhash._texts(docs, members.drop("values"), wanted, 3).count() == 1
+    rows = minhash.groups(docs).collect()
+    assert len(rows) == 200 and sum(r["kept"] for r in rows) == 1 and {r["component_id"] for r in rows} == {7}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["c"]: r["root"] for r in minhash.components(links).collect()}
@@ -339,6 +378,33 @@ def test_sketches_find_the_candidates(spark):
     assert {tuple(r) for r in contamination.search(docs, table_of).collect()} == want
 
 
+def test_passages_of_many_shapes_are_found(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    said = lambda n: " ".join(word() for _ in range(n))
+    passages = [said(60) + ".", said(30) + ". " + said(30) + ".", " ".join(said(3) + "." for _ in range(18)), said(70), "\n".join(said(7) for _ in range(8)) + "\n"]
+    texts = []
+    for p in passages:
+        texts += [f"{said(40)}. {p} {said(20)}.", f"{said(25)}.\n{p}\n{said(12)}.", p]
+    clean = [f"{said(80)}. {said(9)}! {' '.join(said(4) + '.' for _ in range(9))}" for _ in range(20)] + [None, "", "one two. " * 4]
+    got = {r["doc_id"]: r for r in sentences.remove_repeats(docs_of(spark, texts + clean)).collect()}
+    for i, p in enumerate(passages):
+        assert got[3 * i]["n_removed"] == 0 and got[3 * i]["text"] == texts[3 * i]  # the first of its kind
+        for k in (1, 2):
+            left = got[3 * i + k]["text"].split()
+            assert sum(w in left for w in p.split()) < 30, (i, k)
+            assert all(w in left for w in texts[3 * i + k].replace(p, " ").split())
+    assert all(got[len(texts) + i]["text"] == (t or "") for i, t in enumerate(clean))
+
+
+def test_sentences_are_the_whole_text():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["a ", "bc", ". ", "!?", "\n", "  ", "\t", "é ", "d "]) for _ in range(rng.randint(0, 200)))
+        found = sentences.SENTENCE.findall(text)
+        assert "".join(found) == text and all(len(s.split()) <= sentences.WORDS + 1 for s in found)
+
+
 @pytest.mark.parametrize("module", [sentences, contamination])
 def test_sql(spark, module):
     c = duckdb.connect()

@@ -5,7 +5,8 @@ pieces, the rest into one shorter piece. Only the histogram of piece lengths (at
 lengths are placed longest first, each time on the packs with least in them among those with room, and a pattern keeps
 the number of its packs. Each piece then finds its pack by its rank among the pieces of its length.
 
-Defined results: a null or empty text is the closing id alone; every row is a document of its own, also when rows repeat;
+Defined results: a null or empty text is the closing id alone; the string of an added token (``<|endoftext|>``) is its one
+id, as the tokenizers library has it; every row is a document of its own, also when rows repeat;
 without rows there are no pieces; other columns don't matter.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ from .common import bounded, cut, spread_rank, table
 LENGTH = 1024
 #: A worker's memory of chunks that it has encoded is emptied at this size.
 MEMORY = 400_000
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -34,13 +37,19 @@ class Encoder:
 
     The vocabulary's splitting rule never joins characters across a single space between two other characters, so a text
     of such spaces is encoded chunk by chunk, and a chunk seen before is looked up. Other texts are encoded whole. The
-    ids are those of the tokenizers library (the tests compare them); its ranks file is read as it encodes faster.
+    ids are those of the tokenizers library as it comes (the tests compare them), so the string of an added token in a text
+    is that token's id; with ``plain`` it is ordinary text. The ranks file is read as it encodes faster.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, plain: bool = False):
         import public_tokenizers as public
         import tiktoken
 
+        with open(public.path(vocabulary), encoding="utf-8") as f:
+            added = [] if plain else json.load(f)["added_tokens"]
+        self.added = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+
         with open(public.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("public", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -51,6 +60,11 @@ class Encoder:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
     def bytes(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return b"".join(self.added.get(x) or self.ordinary(x) for x in self.cuts.split(text) if x)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         chunks = text.split(" ")
         if "" in chunks or any(x[0].isspace() or x[-1].isspace() for x in chunks):
             return self.whole(text)
@@ -68,20 +82,20 @@ class Encoder:
         return b"".join(out)
 
 
-def encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str, plain: bool) -> Encoder:
+    if (vocabulary, plain) not in _encoders:
+        _encoders[vocabulary, plain] = Encoder(vocabulary, plain)
+    return _encoders[vocabulary, plain]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH, plain: bool = False) -> DataFrame:
     """The pieces of each document row: ``length`` ids each, and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, plain)
         for batch in bounded(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -148,9 +162,9 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH, plain: bool = False) -> DataFrame:
     """One row for each piece with its sequence and its offset there. Sequences not filled are padded to ``length``."""
-    parts = cut(pieces(docs, vocabulary, length))
+    parts = cut(pieces(docs, vocabulary, length, plain))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = places(plan(counts, length))
     ranked = spread_rank(parts, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "rank")

@@ -3,9 +3,11 @@
 Base spans come from four patterns and always stay. Wider patterns propose more candidates of the same kinds (written-out
 e-mail addresses, telephone numbers without a plus sign, IPv6 addresses, spaced card numbers). Labelers vote on every
 candidate: a strict pattern, a gazetteer (top-level domains, issuer prefixes, area codes, public ranges), words of the
-context, and the characters at its edges. Candidates are counted by their votes, at most a few hundred patterns for a
-kind; expectation-maximisation over these counts estimates how reliable each labeler is, and a logistic classifier is
-trained on its posteriors. The classifier, written as an expression, decides which candidates are added.
+context, and the characters at its edges. Expectation-maximisation over the counted vote patterns (at most 81 for a kind)
+estimates how reliable each labeler is. The span classifier is a logistic one, trained on the posteriors, over what no
+labeler looks at as well: the span's length, digits, separators and capitals, and what stands before and after it. Only
+the counts of vote and feature patterns reach the driver, at most 81 * 2^``len(FEATURES)`` for a kind, whatever the
+corpus. The classifier, written as two sums looked up by votes and features, decides which candidates are added.
 
 Defined results: a null text counts as empty and has no spans; rows are judged one by one, so repeated rows repeat their
 spans; an added span that overlaps a base span of its kind is dropped; without candidates nothing is added.
@@ -16,10 +18,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, table
+from .common import cut, free_name, let, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive repetitions keep the matches of the plain ones here and need no stack; the heads only skip starts that fail.
@@ -30,7 +33,7 @@ BASE = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\\(at\\)|\\[at\\]|\\{at\\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\\.|\\(dot\\)|\\[dot\\]|\\{dot\\}) ?[A-Za-z0-9-]{1,63}){1,5}",
+    "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\\(at\\)|\\[at\\]|\\{at\\}) ?[A-Za-z0-9-]{1,63}(?:(?:\\.| ?(?:\\(dot\\)|\\[dot\\]|\\{dot\\}) ?)[A-Za-z0-9-]{1,63}){1,5}",
     "ip": "(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": "(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": "(?<![0-9+(])\\(?[2-9][0-9]{2}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -104,6 +107,26 @@ def _votes(kind: str, text: Column, x: Column) -> list[Column]:
     ]
 
 
+FEATURES = ("long", "mostly digits", "separated", "capitals", "after a mark", "line start", "digits before", "ends a word")
+
+
+def _features(text: Column, x: Column) -> list[Column]:
+    """What stands in and around candidate ``x``, as the truth of each of ``FEATURES``."""
+    before = F.substr(text, F.greatest(x["s"] - 12, F.lit(0)) + 1, F.least(x["s"], F.lit(12)))
+    after = F.substr(text, x["e"] + 1, F.lit(1))
+    n = F.length(x["m"])
+    return [
+        n >= 16,
+        2 * F.length(F.regexp_replace(x["m"], "[^0-9]", "")) > n,
+        x["m"].rlike("[ ()./_-]"),
+        x["m"].rlike("[A-Z]"),
+        before.rlike("[:=(<\"'] ?$"),
+        before.rlike("(?:^|\n) ?$"),
+        before.rlike("[0-9]"),
+        (after == "") | after.rlike("[\\s.,;:!?)>\"']"),
+    ]
+
+
 def _spans(kind: str, text: Column, wide: bool) -> Column:
     found = _matches(text, (WIDE if wide else BASE)[kind], (WIDE_HINT if wide else HINT)[kind])
     if not wide:
@@ -111,13 +134,15 @@ def _spans(kind: str, text: Column, wide: bool) -> Column:
 
     def span(x: Column) -> Column:
         votes = reduce(lambda a, v: a * 3 + v + 1, _votes(kind, text, x), F.lit(0))
-        return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(not wide).alias("base"), votes.alias("votes"))
+        bits = reduce(lambda a, b: a + b, [f.cast("int") * 2**i for i, f in enumerate(_features(text, x))])
+        return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(not wide).alias("base"), votes.alias("votes"), bits.alias("bits"))
 
     return F.transform(found, span)
 
 
 def candidates(text: Column) -> Column:
-    """(s, k: place in ``KINDS``, e, base, votes: as a number in base 3) of all base spans and candidates of a text."""
+    """(s, k: place in ``KINDS``, e, base, votes: as a number in base 3, bits: of the features) of all base spans and
+    candidates of a text."""
     return F.array_sort(F.concat(*[_spans(kind, text, wide) for kind in KINDS for wide in (False, True)]))
 
 
@@ -153,48 +178,59 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
     return share, chance
 
 
-def train(counts: dict[tuple[int, ...], int], steps: int = 300, rate: float = 0.5) -> list[float]:
-    """Weights (a constant, then for each labeler one for its vote and one for its silence) of a logistic classifier fitted
-    to the posteriors of the vote patterns."""
-    share, chance = reliabilities(counts)
-    rows = []
-    for v, n in counts.items():
-        odds = math.log(share / (1 - share)) + sum(math.log(chance[j][1][v[j] + 1] / chance[j][0][v[j] + 1]) for j in range(LABELERS))
-        rows.append(([1.0, *[float(x) for x in v], *[float(x == 0) for x in v]], 1 / (1 + math.exp(-max(-30, min(30, odds)))), n))
-    total = sum(n for *_, n in rows) or 1
-    w = [0.0] * (1 + 2 * LABELERS)
-    for _ in range(steps):
-        slope = [0.001 * x for x in w]
-        for x, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(w, x, strict=True))))))
-            for i, b in enumerate(x):
-                slope[i] += n * (p - y) * b / total
-        w = [a - rate * g for a, g in zip(w, slope, strict=True)]
-    return w
-
-
 def unpacked(votes: int) -> tuple[int, ...]:
     return tuple(votes // 3 ** (LABELERS - 1 - j) % 3 - 1 for j in range(LABELERS))
 
 
-def fit(spans: DataFrame, name: str = "__spans") -> dict[int, list[int]]:
-    """For each kind, the vote patterns that the trained classifier accepts. Only counts by pattern reach the driver."""
-    rows = spans.select(F.explode(name).alias("x")).groupBy("x.k", "x.votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    accepted = {}
-    for k in range(len(KINDS)):
-        counts = {unpacked(r["votes"]): r["n"] for r in rows if r["k"] == k}
-        if counts:
-            w = train(counts)
-            good = [v for v in range(3**LABELERS) if w[0] + sum(w[1 + j] * x + w[1 + LABELERS + j] * (x == 0) for j, x in enumerate(unpacked(v))) >= 0]
-            accepted[k] = good
-    return accepted
+def _described(votes: int, bits: int) -> list[float]:
+    v = unpacked(votes)
+    return [1.0, *[float(x) for x in v], *[float(x == 0) for x in v], *[float(bits >> i & 1) for i in range(len(FEATURES))]]
 
 
-def chosen(spans: Column, accepted: dict[int, list[int]]) -> Column:
+def train(counts: dict[tuple[int, int], int], rounds: int = 30) -> list[float]:
+    """Weights of a logistic classifier fitted by Newton steps to the posteriors of the candidates counted by (votes, bits):
+    a constant, each labeler's vote, its silence, and each feature."""
+    by_votes: dict[tuple[int, ...], int] = {}
+    for (votes, _), n in counts.items():
+        by_votes[unpacked(votes)] = by_votes.get(unpacked(votes), 0) + n
+    share, chance = reliabilities(by_votes)
+
+    def posterior(v: tuple[int, ...]) -> float:
+        odds = math.log(share / (1 - share)) + sum(math.log(chance[j][1][v[j] + 1] / chance[j][0][v[j] + 1]) for j in range(LABELERS))
+        return 1 / (1 + math.exp(-max(-30, min(30, odds))))
+
+    x = np.array([_described(*key) for key in counts])
+    y = np.array([posterior(unpacked(votes)) for votes, _ in counts])
+    n = np.array(list(counts.values()), dtype=float) / max(1, sum(counts.values()))
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (p - y)) + 0.001 * w
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 0.001 * np.eye(len(w))
+        w = w - np.linalg.solve(curve, slope)
+    return w.tolist()
+
+
+def fit(spans: DataFrame, name: str = "__spans") -> dict[int, list[float]]:
+    """For each kind that has candidates, the weights of the trained classifier."""
+    rows = spans.select(F.explode(name).alias("x")).groupBy("x.k", "x.votes", "x.bits").agg(F.count(F.lit(1)).alias("n")).collect()
+    kinds: dict[int, dict[tuple[int, int], int]] = {}
+    for r in rows:
+        kinds.setdefault(r["k"], {})[r["votes"], r["bits"]] = r["n"]
+    return {k: train(dict(sorted(counts.items()))) for k, counts in kinds.items()}
+
+
+def chosen(spans: Column, weights: dict[int, list[float]]) -> Column:
     """Base spans, and candidates that the classifier accepts and no base span of their kind overlaps."""
 
+    def score(x: Column, w: list[float]) -> Column:
+        own = 1 + 2 * LABELERS
+        of_votes = [float(np.dot(w[:own], _described(v, 0)[:own])) for v in range(3**LABELERS)]
+        of_bits = [float(np.dot(w[own:], _described(0, b)[own:])) for b in range(2 ** len(FEATURES))]
+        return F.get(F.array(*map(F.lit, of_votes)), x["votes"]) + F.get(F.array(*map(F.lit, of_bits)), x["bits"])
+
     def takes(x: Column) -> Column:
-        ok = [(x["k"] == k) & x["votes"].isin(good) for k, good in accepted.items() if good]
+        ok = [(x["k"] == k) & (score(x, w) >= 0) for k, w in sorted(weights.items())]
         free = ~F.exists(spans, lambda b: b["base"] & (b["k"] == x["k"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
         return x["base"] | (reduce(lambda a, b: a | b, ok) & free if ok else F.lit(False))
 
@@ -209,25 +245,26 @@ def written(spans: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, the numbers of base spans, base_sha256 and all spans, for each row of ``docs``."""
     found = cut(with_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__spans"))
-    accepted = fit(found)
+    weights = fit(found)
     base = F.filter("__spans", lambda x: x["base"])
     number = [_of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *number, F.sha2(written(base), 256).alias("base_sha256"), written(chosen(F.col("__spans"), accepted)).alias("spans"))
+    return found.select("doc_id", *number, F.sha2(written(base), 256).alias("base_sha256"), written(chosen(F.col("__spans"), weights)).alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each found span replaced by its kind in brackets; ``n_chars`` follows if there is one."""
-    found = with_candidates(docs)
-    accepted = fit(found.select("__spans"))
+    name = free_name(docs, "found_spans")
+    found = cut(with_candidates(docs, name))
+    weights = fit(found.select(name), name)
 
     def masked(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], F.substr("text", a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.element_at(F.array(*[F.lit(k.upper()) for k in KINDS]), x["k"] + 1), F.lit("]")).alias("out")))
         return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text"))))
 
-    spans = chosen(F.col("__spans"), accepted)
-    text = F.when(F.col("text").isNull() | (F.size("__spans") == 0), F.col("text")).otherwise(let(spans, masked))
-    out = found.withColumn("text", text).drop("__spans")
+    spans = chosen(F.col(name), weights)
+    text = F.when(F.col("text").isNull() | (F.size(name) == 0), F.col("text")).otherwise(let(spans, masked))
+    out = found.withColumn("text", text).drop(name)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

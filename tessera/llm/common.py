@@ -72,6 +72,14 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     return joined.select(*df.columns, (F.col("__at") + F.col("__before")).cast("long").alias(name))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once for a row: the optimizer would repeat it at each use, in a lambda even
     for each element."""

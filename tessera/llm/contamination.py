@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, let, table
+from .common import cut, free_name, let, table
 
 WORDS = 5
 SHARE = 0.8
@@ -100,8 +100,9 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; ids may repeat or be null."""
-    held = _held(docs, items).select(F.col("doc_id").alias("__held"), "__doc").distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("__held")) & (F.xxhash64(docs["text"]) == F.col("__doc")), "left_anti")
+    id_, text = free_name(docs, "held_id"), free_name(docs, "held_text")
+    held = _held(docs, items).select(F.col("doc_id").alias(id_), F.col("__doc").alias(text)).distinct()
+    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

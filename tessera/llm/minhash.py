@@ -1,7 +1,7 @@
 """Operator 9. Near-duplicates by bottom-k sketches from one hash function.
 
 Texts with the same shingle set fall into one class at once. The sketch of a class keeps the ``SKETCH`` least shingle
-hashes. Two sets of at least the wanted similarity share far more than ``FLOOR`` of their sketch values, so that each
+hashes. Two sets of at least the wanted similarity share far more than that similarity less ``SLACK`` of their sketch values, so that each
 class needs to stand only in the inverted lists of its rarest values, as many as exceed that share. Short lists give
 their pairs. A long list gives no pairs: its members ("crowded" classes) are indexed again by their full sets, where the
 rarest values up to the exact bound suffice, and in a list that is still long each member is paired with the member that
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded, cut, table
+from .common import bounded, cut, free_name, table
 
 SKETCH = 64
 #: A pair as similar as wanted shares this much less of its sketch values at least, but for one pair in a million.
@@ -71,25 +71,22 @@ def _long(s: np.ndarray) -> np.ndarray:
     return s.view(np.int64)
 
 
-def _members(docs: DataFrame, words: int, sketches: bool) -> DataFrame:
-    """(doc_id, h: of the text, c: class, n) of each row; with ``sketches`` (c, n, values) of each class, once or so for a
-    partition."""
-    schema = "c long, n int, values array<long>" if sketches else "doc_id long, h long, c long, n int"
+def _members(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h: of the text, c: class, n, values: the sketch) of each row; the sketch stands once or so for a class in a
+    partition, and is null in its other rows."""
+    schema = "doc_id long, h long, c long, n int, values array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for batch in bounded(batches):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             classes = [class_of(s) if len(s) else None for s in sets]
-            if not sketches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "h", "c", "n"])
-                continue
             if len(told) > 1_000_000:
                 told.clear()
-            fresh = [i for i, c in enumerate(classes) if c is not None and c not in told and not told.add(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([classes[i] for i in fresh], pa.int64()), pa.array([len(sets[i]) for i in fresh], pa.int32()), pa.array([_long(sets[i][:SKETCH]) for i in fresh], pa.list_(pa.int64()))], ["c", "n", "values"])
+            sketches = [_long(s[:SKETCH]) if c is not None and c not in told and not told.add(c) else None for c, s in zip(classes, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "h", "c", "n", "values"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *([] if sketches else [F.xxhash64("text").alias("h")])).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
 def _rarest(lists: DataFrame, size: Column, share: float) -> DataFrame:
@@ -194,9 +191,10 @@ def groups(docs: DataFrame, words: int = 3, share: float = 0.85) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
     """(doc_id, h: of the text, n_shingles, component_id, kept) of each row of ``docs``."""
     # once computed, a row's number tells it from equal rows
-    members = cut(_members(docs, words, sketches=False).withColumn("row", F.monotonically_increasing_id()))
+    sketched = cut(_members(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    members = sketched.drop("values")
     floor = share - SLACK
-    sketches = _members(docs, words, sketches=True).select("c", "n", F.explode("values").alias("value"))
+    sketches = sketched.where(F.col("values").isNotNull()).select("c", "n", F.explode("values").alias("value"))
     listed = cut(_rarest(sketches, F.least("n", F.lit(SKETCH)), floor))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("length"))
     # places in a sketch say nothing certain of the full set
@@ -243,10 +241,11 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(c, n, z: a text, compressed) of each class wanted."""
+    """(c, n, z: a text, compressed) of each class wanted, one row for each."""
     nowhere = -(2**63)
-    rep = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.coalesce("doc_id", F.lit(nowhere))).alias("__id"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nowhere)).alias("__id"), "text").join(rep.select("__id").distinct(), "__id", "left_semi")
+    rep = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(nowhere)).alias("id"), "h")).alias("one"))
+    rep = rep.select(F.col("one.id").alias("__id"), F.col("one.h").alias("__h")).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nowhere)).alias("__id"), F.xxhash64("text").alias("__h"), "text").join(rep, ["__id", "__h"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -256,18 +255,20 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -
             some = [i for i, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(sets[i]) for i in some], pa.int64()), pa.array([len(sets[i]) for i in some], pa.int32()), pa.array([squeeze.compress(texts[i].encode("utf-8", "surrogatepass")) for i in some], pa.binary())], ["c", "n", "z"])
 
-    return rows.select("text").mapInArrow(run, "c long, n int, z binary")
+    # equal rows of one id and text give their class once each
+    return rows.select("text").mapInArrow(run, "c long, n int, z binary").dropDuplicates(["c"])
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each group does; of equal rows that with the least other columns."""
     # the ids and texts of which a row goes; of those where one is kept, one stays
     gone = _grouped(docs, words, share).groupBy("doc_id", "h").agg(F.min("kept").alias("all"), F.max("kept").alias("one")).where(~F.col("all"))
-    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "one"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    id_, h, one, row = (free_name(docs, x) for x in ("gone_id", "gone_text", "gone_one", "gone_row"))
+    gone = cut(gone.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("one").alias(one)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(h))
     whole = docs.join(gone, same, "left_anti")
-    equal = docs.join(gone.where("one"), same).groupBy("__id", "__h").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
-    return whole.unionByName(equal.select("__row.*"))
+    equal = docs.join(gone.where(one), same).groupBy(id_, h).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return whole.unionByName(equal.select(f"{row}.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_rank, table
+from .common import cut, spread_rank, table
 
 SHARDS = 16
 #: Packets at most of small groups; with large ones twice this number of vectors, and one for each shard.
@@ -47,8 +47,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, packets: int = PACKETS) -> Data
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("__h"),
-        (F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1).cast("long").alias("__tokens"),
+        # words and a closing token
+        (F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")) + 1).cast("long").alias("__tokens"),
     )
+    rows = cut(rows)  # a few numbers of each row; the texts are read once
     groups = rows.groupBy("__h").agg(F.sum("size").alias("bytes"), F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = groups.agg(F.sum("bytes").alias("n")).collect()[0]["n"] or 0
     fair = max(1, total // packets)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, cut, table
 
 #: A run is as long as it takes to reach so many words.
 WORDS = 30
@@ -82,7 +82,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = rows.select("__id", "__h", "text").mapInArrow(_find, SPANS)
     # one decimal number orders by (doc_id, place); unlike a struct it can be summed up in a hash table
     place = (F.col("__id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at")).cast("decimal(38,0)")
-    kinds = spans.groupBy("span", "more").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("span", "more", "first")
+    # written, so that the join has a shuffle of its own on both sides and a common run's rows can be split over tasks
+    kinds = cut(spans.groupBy("span", "more").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("span", "more", "first"))
     lost = spans.join(kinds, ["span", "more"]).where(place != F.col("first")).groupBy("__id", "__h").agg(F.collect_set(F.struct("at", "upto")).alias("__at"))
     return rows.join(lost, ["__id", "__h"], "left").select("doc_id", "text", "__at").mapInArrow(_cut_out, KEPT)
 

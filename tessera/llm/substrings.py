@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import cut, table
+from .common import BATCH_BYTES, bounded, cut, table
 
 WIDTH = 400
 GRAM = 32
@@ -102,7 +103,7 @@ def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         rows = []
         for id_, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             b = _bytes(text)
@@ -116,10 +117,11 @@ PIECES = "shard long, id long, h long, lo int, asked int, alone boolean, loop bo
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that were chosen in each text, split where their anchor is crowded."""
-    for batch in batches:
+    unzip = zstandard.ZstdDecompressor()
+    for batch in bounded(batches):
         rows = []
-        for id_, h, text, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            b = _bytes(text)
+        for id_, h, z, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            b = np.frombuffer(unzip.decompress(z), np.uint8)
             for w in want:
                 cuts = parts(b, w["anchor"] + 2**63, w["lo"], w["hi"]) if w["crowd"] else [(w["anchor"], w["lo"], w["hi"])]
                 for key, lo, hi in cuts:
@@ -179,7 +181,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SHARD_BYTES = 1_500_000
 #: A single shard of more bytes than this isn't sorted in memory; its windows are told by their hashes and compared.
 LARGE_SHARD = 4_000_000
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_removed long, n_spans long, kept_sha256 string, n_bytes long, n_kept long, text string"
 
 
 def merged(stretches: list[tuple[int, int]]) -> list[list[int]]:
@@ -192,23 +194,39 @@ def merged(stretches: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: they travel twice, to their chosen runs and to what was found."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in bounded(batches):
+        z = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], [x.split()[0] for x in PACKED.split(", ")])
+
+
+PACKED = "doc_id long, id long, h long, z binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for id_, text, gone in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            b = (text or "").encode("utf-8", "surrogatepass")
+    unzip = zstandard.ZstdDecompressor()
+    for batch in bounded(batches):
+        rows, held = [], 0
+        for id_, z, gone in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            b = unzip.decompress(z)
             spans = merged([(g["lo"], g["hi"]) for g in gone or ()])
-            at, kept = 0, hashlib.sha256()
+            at, parts = 0, []
             for x, y in spans:
-                kept.update(b[at:x])
+                parts.append(b[at:x])
                 at = y
-            kept.update(b[at:])
-            rows.append((id_, len(b), sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
+            kept = b"".join((*parts, b[at:]))
+            rows.append((id_, len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(b), len(kept), kept.decode("utf-8", "replace")))
+            held += len(kept)
+            if held > BATCH_BYTES:  # texts that repeat themselves are far longer than what they are compressed to
+                yield _columns(rows, RESULT)
+                rows, held = [], 0
         yield _columns(rows, RESULT)
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """(id, h, lo, hi): bytes covered by repeated windows, for rows (id, h, text)."""
+def covered(rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """(id, h, lo, hi): bytes covered by repeated windows, for rows (id, h, text); ``packed`` has the texts compressed."""
     found = rows.mapInArrow(_runs, RUNS)
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loop")).where("n > 1 or loop").select("anchor")
     found = cut(found.join(twice, "anchor"))
@@ -217,7 +235,7 @@ def covered(rows: DataFrame) -> DataFrame:
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("loop") & (F.col("n") == 1)).alias("loops")).where("kinds > 1 or loops").select("anchor", "kinds")
     chosen = kinds.join(mixed, "anchor").select(F.col("one.id").alias("id"), F.col("one.h").alias("h"), F.struct("anchor", "one.lo", "one.hi", (F.col("kinds") > CROWD).alias("crowd"), (F.col("n") == 1).alias("alone"), "loop").alias("want"))
     chosen = chosen.groupBy("id", "h").agg(F.collect_list("want").alias("want"))
-    pieces = rows.join(chosen, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "want").mapInArrow(_pieces, PIECES)
+    pieces = packed.join(chosen, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "z", "want").mapInArrow(_pieces, PIECES)
     pieces = cut(pieces)
     # equal pieces of a split run fall together as runs did
     same = pieces.groupBy("shard", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loop"), F.min(F.struct("id", "h", "lo")).alias("one"))
@@ -231,12 +249,16 @@ def covered(rows: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``."""
+    """(doc_id, n_removed, n_spans, kept_sha256, n_bytes, n_kept, text: what is left) of each row of ``docs``.
+
+    Removal counts bytes, so a stretch may end inside a character; ``text`` shows such a broken end as U+FFFD.
+    """
     nowhere = -(2**63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(nowhere)).alias("id"), F.xxhash64("text").alias("h"), "text")
-    gone = covered(rows.select("id", "h", "text")).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    return rows.join(gone, ["id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_cut_out, RESULT)
+    packed = rows.mapInArrow(_packed, PACKED)
+    gone = covered(rows.select("id", "h", "text"), packed).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    return packed.join(gone, ["id", "h"], "left").select("doc_id", "z", "gone").mapInArrow(_cut_out, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,6 +338,22 @@ def test_html_templates(spark):
     assert all("Site words" not in t and f"Own {i}" in t for i, t in got.items())
 
 
+def test_subtrees_are_told_by_their_structure():
+    tree = lambda s: {h for h, _, _ in html.read(f"<body>{s}</body>")[1]}
+    flat, nested = "<div class=x><div>a b</div></div>", "<div class=x><div>a</div><div>b</div></div>"
+    assert tree(flat) == tree(flat.replace(" b", "\n b")) and len(tree(flat)) == 2
+    assert not tree(flat) & tree(nested) and not tree(flat) & tree(flat.replace("class=x", "class=y")) - tree("<div>a b</div>")
+    assert tree("<div>a b</div>") < tree(flat)
+
+
+def test_html_of_odd_rows(spark):
+    top = "<body><div class='top'>Site words</div><p>{}</p></body>"
+    rows = [(1, "http://h/1", top.format("same"), 5)] * 30 + [(2, None, top.format("no host"), 6), (None, "", None, 7), (4, "::", "", 8)]
+    got = Counter((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, rid long")).collect())
+    # thirty equal rows are one page: no template
+    assert got == Counter({(1, "Site words\nsame"): 30, (2, "Site words\nno host"): 1, (None, ""): 1, (4, ""): 1})
+
+
 def test_sharding(spark):
     texts = [f"text {i % 40} " * (i % 90) for i in range(2000)]
     rows = sharding.shard(docs_of(spark, texts)).collect()

@@ -50,9 +50,9 @@ def _of(name: str):
         t = lambda x: spark.read.parquet(f"{sf_dir}/{x}.parquet")
         o, li = t("orders"), t("lineitem")
         return {
-            "test_not_null": lambda: not_null(o, "o_custkey").select("o_orderkey"),
+            "test_not_null": lambda: not_null(o.withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("P"))), "status").select("o_orderkey"),
             "test_unique": lambda: unique(o, "o_custkey"),
-            "test_relationship": lambda: relationship(o, "o_custkey", t("customer").where("c_custkey % 3 = 0"), "c_custkey").select("o_orderkey"),
+            "test_relationship": lambda: relationship(t("customer"), "c_custkey", o.where("o_orderstatus = 'P'"), "o_custkey").select("c_custkey"),
             "test_accepted_values": lambda: accepted_values(li, "l_returnflag", ["A", "N"]).select("l_orderkey", "l_linenumber"),
             "test_greater_than_or_equal": lambda: greater_than_or_equal(li, "l_quantity", 3).select("l_orderkey", "l_linenumber"),
             "test_greater_than": lambda: greater_than(li, "l_quantity", 3).select("l_orderkey", "l_linenumber"),
@@ -64,9 +64,9 @@ def _of(name: str):
 
 
 ORACLE = {
-    "test_not_null": "SELECT o_orderkey FROM orders WHERE o_custkey IS NULL",
+    "test_not_null": "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL",
     "test_unique": "SELECT o_custkey AS value, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "test_relationship": "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0)",
+    "test_relationship": "SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderstatus = 'P')",
     "test_accepted_values": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')",
     "test_greater_than_or_equal": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_quantity >= 3",
     "test_greater_than": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_quantity > 3",

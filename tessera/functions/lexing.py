@@ -6,17 +6,6 @@ import re
 from functools import cache
 from typing import NamedTuple
 
-#: Dialects that differ in how they quote; the rest follow the first row.
-QUOTES = {
-    "ansi": {"quoted_literal": ["'"], "quoted_identifier": ['"', "`"]},
-    "bigquery": {"quoted_literal": ["'", '"'], "quoted_identifier": ["`"]},
-    "sparksql": {"quoted_literal": ["'", '"'], "quoted_identifier": ["`"]},
-    "databricks": {"quoted_literal": ["'", '"'], "quoted_identifier": ["`"]},
-    "hive": {"quoted_literal": ["'", '"'], "quoted_identifier": ["`"]},
-    "mysql": {"quoted_literal": ["'", '"'], "quoted_identifier": ["`"]},
-}
-BACKSLASH = frozenset(("bigquery", "sparksql", "databricks", "hive", "mysql", "clickhouse", "snowflake"))
-HASH_COMMENT = frozenset(("mysql", "bigquery"))
 #: The words told apart from identifiers.
 KEYWORDS = frozenset("""
 all and any as asc between by case cast create cross delete desc distinct drop else end except exists false fetch first for from full
@@ -36,15 +25,25 @@ class Token(NamedTuple):
 
 @cache
 def pattern(dialect: str) -> re.Pattern:
-    quotes = QUOTES.get(dialect, QUOTES["ansi"])
-    inner = "(?:[^{q}\\\\]|\\\\.|{q}{q})*" if dialect in BACKSLASH else "(?:[^{q}]|{q}{q})*"
-    quoted = lambda kind: "|".join(q + inner.replace("{q}", q) + q for q in quotes[kind])
-    comment = "--[^\\n]*" + ("|#[^\\n]*" if dialect in HASH_COMMENT else "")
+    from ..dialects import lexicon
+
+    x = lexicon(dialect)
+    escaped, plain = "(?:[^{q}\\\\]|\\\\.|{q}{q})*", "(?:[^{q}]|{q}{q})*"
+    quoted = lambda q, inner: q + inner.replace("{q}", q) + q
+    literals = [f"[{x.escaping}]" + quoted("'", escaped)] if x.escaping else []
+    if x.triple:
+        literals += [f"(?:[{x.prefixes}]{{1,2}})?{q * 3}.*?{q * 3}" for q in x.literal]
+    literals += [f"(?:[{x.prefixes}]{{1,2}}(?={q}))?" + quoted(q, escaped if x.backslash else plain) for q in x.literal]
+    identifiers = [quoted(q, plain) for q in x.identifier] + ([r"\[[^\]\[]+\]"] if x.square else [])
+    comment = "--[^\n]*" + "".join(f"|{re.escape(c)}[^\n]*" for c in x.comments)
+    # a colon after a name or a bracket is a path or a slice, no parameter
+    parameter = "|".join(f"(?<![\\w\\]:)\"])(?:{p})" if p.startswith(":") else p for p in x.parameter.split("|")) if x.parameter else "(?!)"
     return re.compile(
         rf"(?P<newline>\n)|(?P<whitespace>[^\S\n]+)|(?P<comment>{comment})|(?P<templated>\{{\{{.*?\}}\}}|\{{%.*?%\}}|\{{#.*?#\}})"
-        rf"|(?P<dollar_literal>\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)|(?P<quoted_literal>{quoted('quoted_literal')})|(?P<quoted_identifier>{quoted('quoted_identifier')})"
-        r"|(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.]))|(?P<word>[^\W\d]\w*|\d+\w+)|(?P<cast>::)|(?P<comparison><=>|<>|!=|>=|<=|=|<|>)"
-        r"|(?P<operator>\|\||[-+*/%&|^~!?@:])|(?P<comma>,)|(?P<dot>\.)|(?P<semicolon>;)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<unlexable>.)",
+        rf"|(?P<dollar_literal>\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)|(?P<quoted_literal>{'|'.join(literals)})|(?P<quoted_identifier>{'|'.join(identifiers)})"
+        rf"|(?P<cast>::)|(?P<parameter>{parameter})"
+        r"|(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.]))|(?P<word>[^\W\d][\w]*(?:\$\w*)*|\d+\w+)|(?P<comparison><=>|<>|!=|>=|<=|=|<|>)"
+        r"|(?P<operator>\|\||[-+*/%&|^~!?@:$#])|(?P<comma>,)|(?P<dot>\.)|(?P<semicolon>;)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<unlexable>.)",
         re.S,
     )
 

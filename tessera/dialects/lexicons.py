@@ -31,8 +31,8 @@ class Lexicon(NamedTuple):
 LOCKING = (("for", "update"), ("for", "share"), ("for", "no"), ("for", "key"))
 
 LEXICONS: dict[str, Lexicon] = {
-    "ansi": Lexicon(None, clauses=(("for", "update"),)),
-    "athena": Lexicon("ansi"),
+    "ansi": Lexicon(None, comments=("#",), clauses=(("for", "update"),)),
+    "athena": Lexicon("ansi", comments=("#",)),
     "bigquery": Lexicon("ansi", ("'", '"'), ("`",), True, ("#",), prefixes="rRbB", triple=True, parameter=r"@@?[\w.]+|\?"),
     "clickhouse": Lexicon("ansi", backslash=True, comments=("#",), parameter=r"\{\w+:[^{}]+\}", clauses=(("prewhere", ""), ("settings", ""), ("format", ""), ("array", "join"), ("into", "outfile"), ("sample", ""))),
     "databricks": Lexicon("sparksql", ("'", '"'), ("`",), True, prefixes="rRxX", parameter=r":\w+|\?"),
@@ -46,7 +46,7 @@ LEXICONS: dict[str, Lexicon] = {
     "oracle": Lexicon("ansi", identifier=('"',), parameter=r":\w+|&&?\w+\.?", clauses=(("connect", "by"), ("start", "with"), ("model", ""), *LOCKING)),
     "postgres": Lexicon("ansi", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=LOCKING),
     "redshift": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=(("connect", "by"), ("start", "with"))),
-    "snowflake": Lexicon("ansi", ("'",), ('"',), True, ("//",), dollar=True, parameter=r"\$\w+|:\w+|\?", clauses=(("connect", "by"), ("start", "with"), ("at", "("), ("before", "("), ("match_recognize", "("))),
+    "snowflake": Lexicon("ansi", ("'",), ('"',), True, ("//", "#"), dollar=True, parameter=r"\$\w+|:\w+|\?", clauses=(("connect", "by"), ("start", "with"), ("at", "("), ("before", "("), ("match_recognize", "("))),
     "sparksql": Lexicon("hive", ("'", '"'), ("`",), True, prefixes="rRxX", parameter=r"\$\{[\w:.]+\}|:\w+|\?"),
     "sqlite": Lexicon("ansi", square=True, prefixes="xX", parameter=r"[@:$]\w+|\?\d*"),
     "starrocks": Lexicon("mysql", ("'", '"'), ("`",), True, ("#",), parameter=r"@@?[\w.`]+|\?", clauses=LOCKING),

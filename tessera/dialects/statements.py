@@ -56,34 +56,34 @@ _key_columns = <(name (ASC | DESC)?) % ",">
 table_option = COMMENT "="? string | ON COMMIT (PRESERVE | DELETE) ROWS? | ON COMMIT DROP
 
 alter_table = ALTER TABLE _if_exists? object alter_action % ","
-alter_action = ADD (COLUMN? _if_not_exists? column_definition _position? | table_constraint) | DROP COLUMN? _if_exists? name _cascade? | DROP CONSTRAINT _if_exists? name _cascade? | DROP PRIMARY KEY
+alter_action = ALTER COLUMN _if_exists? name (SET OPTIONS <...> | DROP NOT NULL | DROP DEFAULT | SET DEFAULT value | SET DATA TYPE type) | SET OPTIONS <...> | ADD (COLUMN? _if_not_exists? column_definition _position? | table_constraint) | DROP COLUMN? _if_exists? name _cascade? | DROP CONSTRAINT _if_exists? name _cascade? | DROP PRIMARY KEY
   | ALTER COLUMN? name (TYPE type | SET DATA TYPE type | SET DEFAULT value | DROP DEFAULT | (SET | DROP) NOT NULL) | MODIFY COLUMN? column_definition _position? | CHANGE COLUMN? name column_definition
-  | RENAME (TO | AS)? object | RENAME COLUMN name TO name | RENAME CONSTRAINT name TO name | SET SCHEMA name | OWNER TO name
+  | RENAME (TO | AS)? object | RENAME COLUMN _if_exists? name TO name | RENAME CONSTRAINT name TO name | SET SCHEMA name | OWNER TO name
 _position = FIRST | AFTER name
-drop_table = DROP TABLE _if_exists? object % "," _cascade? PURGE?
+drop_table = DROP EXTERNAL? TABLE _if_exists? object % "," (_cascade | CASCADE CONSTRAINTS | PURGE)*
 
 create_view = CREATE _or_replace? (TEMPORARY | TEMP)? VIEW _if_not_exists? object _names? AS query (WITH NO SCHEMA BINDING | WITH (CASCADED | LOCAL)? CHECK OPTION | WITH NO? DATA)?
-drop_view = DROP VIEW _if_exists? object % "," _cascade?
+drop_view = DROP MATERIALIZED? VIEW _if_exists? object % "," _cascade?
 create_index = CREATE UNIQUE? INDEX _if_not_exists? object? ON object (USING name)? <(_index_item (ASC | DESC)? (NULLS (FIRST | LAST))?) % ","> where?
 _index_item = object | expr
 drop_index = DROP INDEX _if_exists? object % "," (ON object)? _cascade?
 create_schema = CREATE SCHEMA _if_not_exists? object (AUTHORIZATION name)?
 set_schema = SET CURRENT? SCHEMA "="? (object | string)
-drop_schema = DROP SCHEMA _if_exists? object % "," _cascade?
+drop_schema = DROP FORCE? SCHEMA _if_exists? object % "," _cascade?
 create_database = CREATE DATABASE _if_not_exists? object
-drop_database = DROP DATABASE _if_exists? object _cascade?
+drop_database = DROP DATABASE _if_exists? object (_cascade | SYNC | ON CLUSTER (name | string))*
 drop_type = DROP TYPE _if_exists? object % "," _cascade?
 create_role = CREATE ROLE _if_not_exists? name (AUTHORIZATION name)?
 drop_role = DROP ROLE _if_exists? name % ","
 create_user = CREATE USER _if_not_exists? (name | string) (IDENTIFIED BY string | WITH? PASSWORD string)?
 drop_user = DROP USER _if_exists? (name | string) % "," _cascade?
-access = GRANT _grant ON _grant_object TO grantee % "," (WITH (GRANT | ADMIN) OPTION)? | GRANT object % "," TO grantee % "," (WITH (GRANT | ADMIN) OPTION)?
+access = GRANT _grant ON _grant_object TO grantee % "," (WITH (GRANT | ADMIN) OPTION)? | GRANT ROLE? object % "," TO grantee % "," (WITH (GRANT | ADMIN) OPTION)?
   | REVOKE (GRANT OPTION FOR)? _grant ON _grant_object FROM grantee % "," _cascade? | REVOKE object % "," FROM grantee % "," _cascade?
 _grant = ALL PRIVILEGES? | privilege % ","
 privilege = (SELECT | INSERT | UPDATE | DELETE | TRUNCATE | REFERENCES | TRIGGER | USAGE | EXECUTE | CREATE (TABLE | VIEW | SCHEMA | FUNCTION)? | CONNECT | TEMPORARY | ALTER | DROP | INDEX | OWNERSHIP | MODIFY | MONITOR | OPERATE | ALL PRIVILEGES?) _names?
-_grant_object = (TABLE | VIEW | SCHEMA | DATABASE | SEQUENCE | FUNCTION | PROCEDURE | ROLE | WAREHOUSE | ALL (TABLES | SEQUENCES | FUNCTIONS) IN SCHEMA | FUTURE word IN (SCHEMA | DATABASE))? (object | "*" ("." "*")? | object "." "*") <...>?
+_grant_object = (TABLE | VIEW | SCHEMA | DATABASE | SEQUENCE | FUNCTION | PROCEDURE | ROLE | WAREHOUSE | ALL (TABLES | SEQUENCES | FUNCTIONS) IN SCHEMA | FUTURE word IN (SCHEMA | DATABASE))? (object | "*" ("." "*")? | object "." "*" | object "*") % "," <...>?
 grantee = (ROLE | USER | GROUP | SHARE)? (PUBLIC | name | string)
-create_cast = CREATE CAST <type AS type> WITH (SPECIFIC? (FUNCTION | ROUTINE | PROCEDURE | METHOD) object <...>? | INOUT) (FOR object)? (AS (ASSIGNMENT | IMPLICIT))? | CREATE CAST <type AS type> WITHOUT FUNCTION (AS (ASSIGNMENT | IMPLICIT))?
+create_cast = CREATE CAST <type AS type> WITH (SPECIFIC | INSTANCE | STATIC)? ((FUNCTION | ROUTINE | PROCEDURE | METHOD) object <...>? | INOUT) (FOR object)? (AS (ASSIGNMENT | IMPLICIT))? | CREATE CAST <type AS type> WITHOUT FUNCTION (AS (ASSIGNMENT | IMPLICIT))?
 drop_cast = DROP CAST _if_exists? <type AS type> _cascade?
 create_function = CREATE _or_replace? (TEMPORARY | TEMP)? FUNCTION _if_not_exists? object <function_parameter % ","> (RETURNS type)? function_part+ | CREATE _or_replace? (TEMPORARY | TEMP)? FUNCTION _if_not_exists? object <> (RETURNS type)? function_part+
 function_parameter = (IN | OUT | INOUT)? name type (DEFAULT value | "=" value)? | type
@@ -96,15 +96,15 @@ use = USE word? object
 explain = EXPLAIN _explain_how* (query | _statement)
 _explain_how = ANALYZE | VERBOSE | FORMATTED | EXTENDED | COST | CODEGEN | PLAN | FOR | <...>
 create_sequence = CREATE _or_replace? (TEMPORARY | TEMP)? SEQUENCE _if_not_exists? object (AS type)? sequence_option*
-sequence_option = INCREMENT BY? "="? value | START WITH? "="? value | MINVALUE value | NO MINVALUE | MAXVALUE value | NO MAXVALUE | NO? CYCLE | NOCYCLE | CACHE value | NO CACHE | NOCACHE | NO? ORDER | NOORDER | OWNED BY object | RESTART (WITH? value)?
-alter_sequence = ALTER SEQUENCE _if_exists? object (sequence_option+ | RENAME TO object | SET SCHEMA name)
+sequence_option = INCREMENT BY? "="? value | START WITH? "="? value | MINVALUE value | NO MINVALUE | MAXVALUE value | NO MAXVALUE | NO? CYCLE | NOCYCLE | CACHE value | NO CACHE | NOCACHE | NO? ORDER | NOORDER | OWNED BY object | RESTART (WITH? value)? | COMMENT "="? string | WITH
+alter_sequence = ALTER SEQUENCE _if_exists? object (SET? sequence_option+ | RENAME TO object | SET SCHEMA name)
 drop_sequence = DROP SEQUENCE _if_exists? object % "," _cascade?
-create_trigger = CREATE _or_replace? TRIGGER object (BEFORE | AFTER | INSTEAD OF) trigger_event (OR trigger_event)* ON object (REFERENCING ((OLD | NEW) (TABLE | ROW)? AS? name)+)? (FOR EACH? (ROW | STATEMENT))? (WHEN <expr>)? trigger_body
+create_trigger = CREATE _or_replace? TRIGGER object (BEFORE | AFTER | INSTEAD OF) trigger_event (OR trigger_event)* ON object (FROM object)? _deferral* (REFERENCING ((OLD | NEW) (TABLE | ROW)? AS? name)+)? (FOR EACH? (ROW | STATEMENT))? (WHEN <expr>)? trigger_body
 trigger_event = INSERT | DELETE | TRUNCATE | UPDATE (OF name % ",")?
 trigger_body = EXECUTE (FUNCTION | PROCEDURE) object <...> | BEGIN ... | _statement
 drop_trigger = DROP TRIGGER _if_exists? object (ON object)? _cascade?
 set_statement = SET (SESSION | LOCAL | GLOBAL)? (object | word) ("=" | TO) (value | ON | OFF) ("," value)*
-comment_on = COMMENT (IF EXISTS)? ON (TABLE | COLUMN | VIEW | SCHEMA | DATABASE | FUNCTION | INDEX | CONSTRAINT | TYPE | SEQUENCE | MATERIALIZED VIEW) object (ON object)? IS (string | NULL)
+comment_on = COMMENT (IF EXISTS)? ON (TABLE | COLUMN | VIEW | WAREHOUSE | USER | ROLE | SCRIPT | EXTENSION | TRIGGER | AGGREGATE | DOMAIN | PROCEDURE | POLICY | RULE | SERVER | STAGE | CATALOG | VOLUME | SCHEMA | DATABASE | FUNCTION | INDEX | CONSTRAINT | TYPE | SEQUENCE | MATERIALIZED VIEW) object (ON object)? IS (string | NULL)
 call = CALL object <...>
 '''
 
@@ -132,6 +132,7 @@ create_schema = CREATE SCHEMA _if_not_exists? object table_option*
 create_function = CREATE _or_replace? (TEMP | TEMPORARY)? (AGGREGATE | TABLE)? FUNCTION _if_not_exists? object <(name (ANY TYPE | type)) % ","> (RETURNS type)? function_part+ | CREATE _or_replace? (TEMP | TEMPORARY)? FUNCTION _if_not_exists? object <> (RETURNS type)? function_part+
 function_part += OPTIONS <...> | AS <expr> | AS query
 merge = MERGE INTO? object alias? USING merge_source ON expr merge_match+
+table_option += WITH PARTITION COLUMNS <...>? | WITH CONNECTION object
 merge_insert += INSERT ROW | INSERT _names? ROW
 insert = INSERT INTO? object _names? _insert_source
 delete = DELETE FROM? object alias? where
@@ -144,7 +145,7 @@ create_search_index = CREATE (SEARCH | VECTOR) INDEX _if_not_exists? object ON o
 execute_immediate = EXECUTE IMMEDIATE expr (INTO name % ",")? (USING (expr alias?) % ",")?
 create_snapshot = CREATE SNAPSHOT TABLE _if_not_exists? object CLONE object ...
 alter_options = ALTER (TABLE | VIEW | SCHEMA | MATERIALIZED VIEW) _if_exists? object SET OPTIONS <...>
-_scripting = IF expr THEN ... | LOOP ... | WHILE expr DO ... | END (IF | LOOP | WHILE | FOR)? | BEGIN ... | BREAK | LEAVE | RETURN | RAISE ...
+_scripting = FOR name IN <query> DO ... | REPEAT ... | UNTIL expr END REPEAT | IF expr THEN ... | LOOP ... | WHILE expr DO ... | END (IF | LOOP | WHILE | FOR)? | BEGIN ... | BREAK | LEAVE | RETURN | RAISE ...
 '''
 
 GRAMMARS["clickhouse"] = r'''
@@ -153,10 +154,11 @@ _on_cluster = ON CLUSTER (name | string)
 create_table = CREATE _or_replace? (TEMPORARY)? TABLE _if_not_exists? object _on_cluster? (<clickhouse_element %? ","> | AS object (<...>)?)? table_option* (AS query)?
 clickhouse_element = (INDEX | CONSTRAINT | PROJECTION) ... | ..( "," ) | column_definition
 column_definition = name type? column_constraint*
-column_constraint += (MATERIALIZED | ALIAS | EPHEMERAL) value | CODEC <...> | TTL expr
-table_option += ENGINE "="? name <...>? | ORDER BY (<...> | expr) | PARTITION BY expr | PRIMARY KEY (<...> | expr) | SAMPLE BY expr | TTL expr | SETTINGS (name "=" value) % ","
-create_view = CREATE _or_replace? (LIVE | WINDOW)? VIEW _if_not_exists? object _on_cluster? _names? AS query | CREATE MATERIALIZED VIEW _if_not_exists? object _on_cluster? (REFRESH (EVERY | AFTER) number word)? (TO object)? (<...>)? table_option* POPULATE? AS query
-create_database = CREATE DATABASE _if_not_exists? object _on_cluster? (ENGINE "=" name <...>?)? (COMMENT string)?
+column_constraint += (MATERIALIZED | ALIAS | EPHEMERAL | DEFAULT) expr | CODEC <...> | TTL expr
+table_option += ENGINE "="? name <...>? | ORDER BY (<...> | expr) | PARTITION BY expr | PRIMARY KEY (<...> | expr) | SAMPLE BY expr | TTL (expr (DELETE where? | TO (VOLUME | DISK) string | RECOMPRESS CODEC <...> | GROUP BY exprs (SET assignment % ",")?)?) % "," | SETTINGS (name "=" value) % ","
+create_view = CREATE _or_replace? (LIVE | WINDOW)? VIEW _if_not_exists? object _on_cluster? _names? _on_cluster? (DEFINER "=" name | SQL SECURITY name)* AS query | CREATE MATERIALIZED VIEW _if_not_exists? object _on_cluster? (REFRESH (EVERY | AFTER) number word)? (TO object)? (<...>)? table_option* POPULATE? AS query
+create_user = CREATE USER _if_not_exists? (name | string) % "," ...
+create_database = CREATE DATABASE _if_not_exists? object _on_cluster? (ENGINE "=" name <...>?)? (COMMENT (string | name))?
 create_dictionary = CREATE _or_replace? DICTIONARY _if_not_exists? object _on_cluster? <...> (PRIMARY KEY name % "," | (SOURCE | LIFETIME | LAYOUT | RANGE | SETTINGS) <...> | COMMENT string)*
 drop_dictionary = DROP DICTIONARY _if_exists? object SYNC?
 drop_table = DROP TEMPORARY? TABLE _if_exists? object % "," _on_cluster? (SYNC | NO DELAY)*
@@ -506,16 +508,19 @@ GRAMMARS["snowflake"] = r'''
 _statement += copy_into | create_stage | create_file_format | create_stream | create_task | create_pipe | create_warehouse | create_procedure | create_other | alter_many | drop_many | show | _files | unset | undrop | execute | _scripting | create_stage | create_tag
 _copy = COPY GRANTS
 _table_kind += TRANSIENT | HYBRID | DYNAMIC | ICEBERG | EVENT
-create_table = CREATE _or_replace? _table_kind? TABLE _if_not_exists? object (CLONE object time_travel? | LIKE object | USING TEMPLATE <...> | <table_element %? ",">)? table_option* (AS query)?
+create_role = CREATE _or_replace? ROLE _if_not_exists? name table_option*
+truncate = TRUNCATE TABLE? _if_exists? object
+explain = EXPLAIN (USING (TABULAR | JSON | TEXT))? (query | _statement)
+create_table = CREATE _or_replace? _table_kind? TABLE _if_not_exists? object (CLUSTER BY LINEAR? <...>)? (CLONE object time_travel? | LIKE object | USING TEMPLATE <...> | <table_element %? ",">)? table_option* (AS query)?
 time_travel = (AT | BEFORE) <...>
 column_constraint += WITH? (MASKING POLICY object (USING <...>)? | TAG <...> | PROJECTION POLICY object) | AUTOINCREMENT (<...> | START number INCREMENT number)? (NO? ORDER | NOORDER)? | IDENTITY (<...> | START number INCREMENT number)? | COLLATE string | AS <expr> | NOT? ENFORCED | NOVALIDATE | RELY
-table_option += CLUSTER BY (LINEAR)? <...> | _copy | (word "=" (value | <...>)) | WITH? (ROW ACCESS POLICY object ON <...> | TAG <...> | AGGREGATION POLICY object)
+table_option += CLUSTER BY (LINEAR)? <...> | _copy | ","? (word "=" (value | <...>)) | WITH? (ROW ACCESS POLICY object ON <...> | TAG <...> | AGGREGATION POLICY object)
 create_view = CREATE _or_replace? SECURE? (LOCAL | GLOBAL)? (TEMP | TEMPORARY | VOLATILE)? RECURSIVE? MATERIALIZED? VIEW _if_not_exists? object (<(name column_constraint* (COMMENT string)?) % ",">)? table_option* (COMMENT "="? string)? AS query
 create_schema = CREATE _or_replace? TRANSIENT? SCHEMA _if_not_exists? object (CLONE object time_travel?)? (WITH MANAGED ACCESS)? table_option*
 create_database = CREATE _or_replace? TRANSIENT? DATABASE _if_not_exists? object (CLONE object time_travel? | FROM SHARE object)? table_option*
 create_stage = CREATE _or_replace? (TEMP | TEMPORARY)? STAGE _if_not_exists? object table_option*
 create_file_format = CREATE _or_replace? (TEMP | TEMPORARY | VOLATILE)? FILE FORMAT _if_not_exists? object table_option*
-create_stream = CREATE _or_replace? STREAM _if_not_exists? object _copy? ON (TABLE | VIEW | STAGE | EXTERNAL TABLE | DYNAMIC TABLE) object time_travel? table_option*
+create_stream = CREATE _or_replace? STREAM _if_not_exists? object CLONE object | CREATE _or_replace? STREAM _if_not_exists? object _copy? ON (TABLE | VIEW | STAGE | EXTERNAL TABLE | DYNAMIC TABLE) object time_travel? table_option*
 create_task = CREATE _or_replace? TASK _if_not_exists? object table_option* (AFTER object % ",")? (WHEN expr)? AS (query | _statement | ...)
 create_pipe = CREATE _or_replace? PIPE _if_not_exists? object table_option* AS copy_into
 create_warehouse = CREATE _or_replace? WAREHOUSE _if_not_exists? object WITH? table_option*
@@ -525,12 +530,12 @@ create_function = CREATE _or_replace? (TEMP | TEMPORARY)? SECURE? FUNCTION _if_n
 create_procedure = CREATE _or_replace? SECURE? PROCEDURE _if_not_exists? object <...> _copy? RETURNS (TABLE <...>? | type) (NOT NULL)? function_part+
 function_part += CALLED ON NULL INPUT | RETURNS NULL ON NULL INPUT | MEMOIZABLE | (RUNTIME_VERSION | HANDLER | TARGET_PATH | COMMENT) "=" string | (IMPORTS | PACKAGES | EXTERNAL_ACCESS_INTEGRATIONS | SECRETS) "=" <...> | EXECUTE AS (CALLER | OWNER) | AS (DECLARE | BEGIN) ...
 create_user = CREATE _or_replace? USER _if_not_exists? name table_option*
-copy_into = COPY INTO stage_or_table (<...>)? FROM (<query> | stage_or_table) ((FILES | PATTERN | FILE_FORMAT | VALIDATION_MODE | HEADER | PARTITION) ("=" (value | <...>) | BY expr) | table_option)*
+copy_into = COPY INTO stage_or_table (<...>)? (FROM (<query> | stage_or_table))? ((FILES | PATTERN | FILE_FORMAT | VALIDATION_MODE | HEADER | PARTITION) ("=" (value | <...>) | BY expr) | table_option)*
 stage_or_table = "@" ..( FROM | FILE_FORMAT | FILES | PATTERN | "(" | ")" ) | "@" ... | string | object
 insert = INSERT OVERWRITE? INTO object _names? _insert_source | INSERT OVERWRITE? (ALL | FIRST) ...
 merge_match = WHEN NOT? MATCHED (AND expr)? THEN _merge_action
 alter_many = ALTER (WAREHOUSE | SESSION | USER | ROLE | ACCOUNT | DATABASE | SCHEMA | VIEW | STAGE | STREAM | TASK | PIPE | FUNCTION | PROCEDURE | FILE FORMAT | MATERIALIZED VIEW | EXTERNAL TABLE | DYNAMIC TABLE | SHARE | MASKING POLICY | TAG | NETWORK POLICY | (API | NOTIFICATION | SECURITY | STORAGE)? INTEGRATION | RESOURCE MONITOR | ALERT | ICEBERG TABLE | ROW ACCESS POLICY) any ...
-alter_action += SWAP WITH object | CLUSTER BY <...> | DROP CLUSTERING KEY | (SUSPEND | RESUME) RECLUSTER | SET (TAG ... | table_option+) | UNSET ... | (ADD | DROP) (ROW ACCESS POLICY ... | SEARCH OPTIMIZATION ...) | (ALTER | MODIFY) COLUMN? <...> | (ALTER | MODIFY) COLUMN? name ((SET | UNSET) MASKING POLICY ... | COMMENT string | SET DATA TYPE type | TYPE? type) | ADD COLUMN? _if_not_exists? column_definition ("," column_definition)*
+alter_action += SWAP WITH object | RECLUSTER ... | (MODIFY | ALTER)? COLUMN? name (DROP DEFAULT | SET DEFAULT expr | (SET | DROP) NOT NULL | SET DATA TYPE type) | DROP CONSTRAINT name ... | CLUSTER BY <...> | DROP CLUSTERING KEY | (SUSPEND | RESUME) RECLUSTER | SET (TAG ... | table_option+) | UNSET ... | (ADD | DROP) (ROW ACCESS POLICY ... | SEARCH OPTIMIZATION ...) | (ALTER | MODIFY) COLUMN? <...> | (ALTER | MODIFY) COLUMN? name ((SET | UNSET) MASKING POLICY ... | COMMENT string | SET DATA TYPE type | TYPE? type) | ADD COLUMN? _if_not_exists? column_definition ("," column_definition)*
 drop_many = DROP (WAREHOUSE | STAGE | STREAM | TASK | PIPE | FILE FORMAT | PROCEDURE | MATERIALIZED VIEW | EXTERNAL TABLE | DYNAMIC TABLE | SHARE | TAG | (MASKING | NETWORK | SESSION | PASSWORD | ROW ACCESS) POLICY | INTEGRATION | RESOURCE MONITOR | CONNECTION | ALERT | ICEBERG TABLE | STREAMLIT) _if_exists? object (<...>)? _cascade?
 show = SHOW ...
 _files = (PUT | GET | LIST | LS | REMOVE | RM) ...
@@ -540,7 +545,7 @@ use = USE (ROLE | WAREHOUSE | DATABASE | SCHEMA | SECONDARY ROLES)? (object | AL
 execute = EXECUTE (IMMEDIATE ... | TASK object | ALERT object)
 set_statement = SET (name | _names) "=" expr
 describe = (DESCRIBE | DESC) any ...
-_scripting = DECLARE ... | BEGIN ... | END | LET ... | RETURN ... | IF <expr> THEN ... | FOR ... | WHILE ... | OPEN name ... | CLOSE name | FETCH name INTO name % "," | BREAK | CONTINUE | RAISE name
+_scripting = DECLARE ... | BEGIN ... | END | LET ... | name ":" "=" ... | RETURN ... | IF <expr> THEN ... | FOR ... | WHILE ... | OPEN name ... | CLOSE name | FETCH name INTO name % "," | BREAK | CONTINUE | RAISE name
 '''
 
 GRAMMARS["sqlite"] = r'''

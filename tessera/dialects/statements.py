@@ -22,9 +22,9 @@ insert = INSERT (OVERWRITE | INTO) TABLE? object _names? _insert_source returnin
 _insert_source = values | query | DEFAULT VALUES
 values = VALUES (<_row_value % ","> | expr) % ","
 _row_value = DEFAULT | expr
-update = UPDATE object alias? SET assignment % "," (FROM _update_from)? where? returning?
+update = UPDATE object alias? SET assignment % "," (FROM _update_from)? (WHERE CURRENT OF name | where)? returning?
 _update_from = ..( WHERE | RETURNING ) | ...
-assignment = (object | _names) "=" (DEFAULT | expr)
+assignment = (object | _names) ("[" ..( "]" ) "]")* "=" (DEFAULT | expr)
 delete = DELETE FROM object alias? (USING ..( WHERE ))? where? returning? | DELETE FROM object alias? USING ...
 truncate = TRUNCATE TABLE? object % "," _truncate_how?
 _truncate_how = (RESTART | CONTINUE) IDENTITY _cascade? | _cascade
@@ -42,7 +42,7 @@ _transaction_more = TO SAVEPOINT? name | AND NO? CHAIN | (ISOLATION LEVEL word w
 
 create_table = CREATE _or_replace? _table_kind? TABLE _if_not_exists? object _table_body table_option*
 _table_kind = TEMPORARY | TEMP | (GLOBAL | LOCAL) (TEMPORARY | TEMP) | EXTERNAL | TRANSIENT | UNLOGGED | VOLATILE
-_table_body = <table_element %? ","> (AS? query)? | LIKE object | AS query | <query>
+_table_body = <table_element %? ","> (AS? query)? | LIKE object | table_option* AS (query | values) | <query> | _names table_option* AS query
 table_element = table_constraint | column_definition | LIKE object ((INCLUDING | EXCLUDING) word)*
 column_definition = name type column_constraint*
 column_constraint = (CONSTRAINT name)? _column_constraint
@@ -60,7 +60,7 @@ alter_action = ALTER COLUMN _if_exists? name (SET OPTIONS <...> | DROP NOT NULL
   | ALTER COLUMN? name (TYPE type | SET DATA TYPE type | SET DEFAULT value | DROP DEFAULT | (SET | DROP) NOT NULL) | MODIFY COLUMN? column_definition _position? | CHANGE COLUMN? name column_definition
   | RENAME (TO | AS)? object | RENAME COLUMN _if_exists? name TO name | RENAME CONSTRAINT name TO name | SET SCHEMA name | OWNER TO name
 _position = FIRST | AFTER name
-drop_table = DROP EXTERNAL? TABLE _if_exists? object % "," (_cascade | CASCADE CONSTRAINTS | PURGE)*
+drop_table = DROP (EXTERNAL | TEMPORARY)? TABLE _if_exists? object % "," (_cascade | CASCADE CONSTRAINTS | PURGE)*
 
 create_view = CREATE _or_replace? (TEMPORARY | TEMP)? VIEW _if_not_exists? object _names? AS query (WITH NO SCHEMA BINDING | WITH (CASCADED | LOCAL)? CHECK OPTION | WITH NO? DATA)?
 drop_view = DROP MATERIALIZED? VIEW _if_exists? object % "," _cascade?
@@ -71,30 +71,30 @@ create_schema = CREATE SCHEMA _if_not_exists? object (AUTHORIZATION name)?
 set_schema = SET CURRENT? SCHEMA "="? (object | string)
 drop_schema = DROP FORCE? SCHEMA _if_exists? object % "," _cascade?
 create_database = CREATE DATABASE _if_not_exists? object
-drop_database = DROP DATABASE _if_exists? object (_cascade | SYNC | ON CLUSTER (name | string))*
+drop_database = DROP DATABASE _if_exists? object (WITH? <...> | _cascade | SYNC | ON CLUSTER (name | string))*
 drop_type = DROP TYPE _if_exists? object % "," _cascade?
 create_role = CREATE ROLE _if_not_exists? name (AUTHORIZATION name)?
 drop_role = DROP ROLE _if_exists? name % ","
 create_user = CREATE USER _if_not_exists? (name | string) (IDENTIFIED BY string | WITH? PASSWORD string)?
 drop_user = DROP USER _if_exists? (name | string) % "," _cascade?
-access = GRANT _grant ON _grant_object TO grantee % "," (WITH (GRANT | ADMIN) OPTION)? | GRANT ROLE? object % "," TO grantee % "," (WITH (GRANT | ADMIN) OPTION)?
+access = GRANT _grant ON _grant_object TO grantee % "," (WITH (GRANT | ADMIN) (OPTION | TRUE | FALSE))? | GRANT ROLE? object % "," TO grantee % "," (WITH (GRANT | ADMIN) (OPTION | TRUE | FALSE))?
   | REVOKE (GRANT OPTION FOR)? _grant ON _grant_object FROM grantee % "," _cascade? | REVOKE object % "," FROM grantee % "," _cascade?
 _grant = ALL PRIVILEGES? | privilege % ","
-privilege = (SELECT | INSERT | UPDATE | DELETE | TRUNCATE | REFERENCES | TRIGGER | USAGE | EXECUTE | CREATE (TABLE | VIEW | SCHEMA | FUNCTION)? | CONNECT | TEMPORARY | ALTER | DROP | INDEX | OWNERSHIP | MODIFY | MONITOR | OPERATE | ALL PRIVILEGES?) _names?
-_grant_object = (TABLE | VIEW | SCHEMA | DATABASE | SEQUENCE | FUNCTION | PROCEDURE | ROLE | WAREHOUSE | ALL (TABLES | SEQUENCES | FUNCTIONS) IN SCHEMA | FUTURE word IN (SCHEMA | DATABASE))? (object | "*" ("." "*")? | object "." "*" | object "*") % "," <...>?
+privilege = (SELECT | INSERT | UPDATE | DELETE | TRUNCATE | REFERENCES | TRIGGER | USAGE | EXECUTE | CREATE (TABLE | VIEW | SCHEMA | FUNCTION)? | CONNECT | TEMPORARY | TEMP | ALTER | DROP | INDEX | OWNERSHIP | MODIFY | MONITOR | OPERATE | ALL PRIVILEGES?) _names?
+_grant_object = (DOMAIN | TYPE | LANGUAGE | LARGE OBJECT | FOREIGN SERVER | INTEGRATION | STAGE | TASK | STREAM | PIPE | CATALOG | VOLUME | TABLE | VIEW | SCHEMA | DATABASE | SEQUENCE | FUNCTION | PROCEDURE | ROLE | WAREHOUSE | ALL (TABLES | SEQUENCES | FUNCTIONS) IN SCHEMA | FUTURE word IN (SCHEMA | DATABASE))? (object | "*" ("." "*")? | object "." "*" | object "*") % "," <...>?
 grantee = (ROLE | USER | GROUP | SHARE)? (PUBLIC | name | string)
 create_cast = CREATE CAST <type AS type> WITH (SPECIFIC | INSTANCE | STATIC)? ((FUNCTION | ROUTINE | PROCEDURE | METHOD) object <...>? | INOUT) (FOR object)? (AS (ASSIGNMENT | IMPLICIT))? | CREATE CAST <type AS type> WITHOUT FUNCTION (AS (ASSIGNMENT | IMPLICIT))?
 drop_cast = DROP CAST _if_exists? <type AS type> _cascade?
 create_function = CREATE _or_replace? (TEMPORARY | TEMP)? FUNCTION _if_not_exists? object <function_parameter % ","> (RETURNS type)? function_part+ | CREATE _or_replace? (TEMPORARY | TEMP)? FUNCTION _if_not_exists? object <> (RETURNS type)? function_part+
 function_parameter = (IN | OUT | INOUT)? name type (DEFAULT value | "=" value)? | type
 function_part = LANGUAGE (name | string) | IMMUTABLE | STABLE | VOLATILE | STRICT | NOT? DETERMINISTIC | COMMENT string | AS string | RETURN expr | AS <expr>
-drop_function = DROP FUNCTION _if_exists? object <...>? _cascade?
+drop_function = DROP FUNCTION _if_exists? (object <...>?) % "," _cascade?
 create_model = CREATE _or_replace? MODEL _if_not_exists? object (OPTIONS <...>)? AS? query
 drop_model = DROP MODEL _if_exists? object
-describe = (DESCRIBE | DESC) word? object | (DESCRIBE | DESC) query
-use = USE word? object
+describe = (DESCRIBE | DESC) word object | (DESCRIBE | DESC) object | (DESCRIBE | DESC) query
+use = USE word object | USE object
 explain = EXPLAIN _explain_how* (query | _statement)
-_explain_how = ANALYZE | VERBOSE | FORMATTED | EXTENDED | COST | CODEGEN | PLAN | FOR | <...>
+_explain_how = ANALYZE | ANALYSE | VERBOSE | FORMATTED | EXTENDED | COST | CODEGEN | PLAN | FOR | <...>
 create_sequence = CREATE _or_replace? (TEMPORARY | TEMP)? SEQUENCE _if_not_exists? object (AS type)? sequence_option*
 sequence_option = INCREMENT BY? "="? value | START WITH? "="? value | MINVALUE value | NO MINVALUE | MAXVALUE value | NO MAXVALUE | NO? CYCLE | NOCYCLE | CACHE value | NO CACHE | NOCACHE | NO? ORDER | NOORDER | OWNED BY object | RESTART (WITH? value)? | COMMENT "="? string | WITH
 alter_sequence = ALTER SEQUENCE _if_exists? object (SET? sequence_option+ | RENAME TO object | SET SCHEMA name)
@@ -200,16 +200,20 @@ create_function = CREATE TEMPORARY? FUNCTION object AS string (USING (((JAR | FI
 '''
 
 GRAMMARS["sparksql"] = r'''
-_statement += cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
+_statement += create_widget | alter_database | cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
 _table_kind += OR REFRESH | STREAMING | LIVE | STREAMING LIVE | OR REFRESH STREAMING | OR REFRESH STREAMING LIVE | OR REFRESH LIVE | TEMPORARY LIVE
 create_table = CREATE _or_replace? (OR REFRESH)? (TEMPORARY | EXTERNAL | STREAMING | LIVE)* TABLE _if_not_exists? object (LIKE object | <_spark_element %? ",">)? table_option* (AS? query)?
 _spark_element = table_element | expectation
 expectation = CONSTRAINT name EXPECT <expr> (ON VIOLATION (FAIL UPDATE | DROP ROW))?
 table_option += USING object | OPTIONS <...> | CLUSTER BY (_names | AUTO | NONE) | PARTITIONED BY <(expr | column_definition) % ",">
-create_view = CREATE _or_replace? (GLOBAL? (TEMPORARY | TEMP))? (STREAMING | LIVE | MATERIALIZED)* VIEW _if_not_exists? object (<(name (COMMENT string)? | expectation) % ",">)? (COMMENT string | TBLPROPERTIES <...> | USING object | OPTIONS <...>)* (AS query)?
+create_view = CREATE _or_replace? (OR REFRESH)? (GLOBAL? (TEMPORARY | TEMP))? (STREAMING | LIVE | MATERIALIZED)* VIEW _if_not_exists? object (<(name (COMMENT string)? | expectation) % ",">)? (COMMENT string | TBLPROPERTIES <...> | USING object | OPTIONS <...>)* (AS query)?
 alter_view = ALTER VIEW object (RENAME TO object | SET TBLPROPERTIES <...> | UNSET TBLPROPERTIES _if_exists? <...> | AS query)
 insert = INSERT (OVERWRITE | INTO) TABLE? object partition? _if_not_exists? (_names | BY NAME)? _insert_source | INSERT OVERWRITE LOCAL? DIRECTORY string? table_option* query | INSERT INTO TABLE? object REPLACE WHERE expr _insert_source
 _insert_source += TABLE object | FROM ...
+create_widget = CREATE WIDGET word name DEFAULT string (CHOICES query)? | REMOVE WIDGET name
+alter_database = ALTER (DATABASE | SCHEMA) object SET (DBPROPERTIES <...> | LOCATION string | OWNER TO name)
+analyze += ANALYZE TABLES (IN object)? COMPUTE STATISTICS NOSCAN?
+alter_action += (ALTER | CHANGE) COLUMN? name (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
 cache = CACHE LAZY? TABLE object (OPTIONS <...>)? (AS? query)?
 uncache = UNCACHE TABLE _if_exists? object
 refresh = REFRESH (TABLE | FUNCTION | MATERIALIZED VIEW | STREAMING TABLE)? (object | string)
@@ -220,12 +224,12 @@ reset = RESET (..( ";" ) | ...)
 declare = DECLARE _or_replace? VARIABLE? name type? ((DEFAULT | "=") expr)?
 set_statement += SET (VARIABLE | VAR)? (object | _names) "=" expr | SET | SET "-" word | SET TIME ZONE (LOCAL | string | expr)
 _delta = VACUUM (object | string) (RETAIN number HOURS)? (DRY RUN)? | OPTIMIZE (object | string) where? (ZORDER BY <name % ",">)? | RESTORE TABLE? object TO? (VERSION | TIMESTAMP) AS OF value
-  | GENERATE name FOR TABLE object | CONVERT TO DELTA object (PARTITIONED BY <...>)? | apply_changes
+  | GENERATE name FOR TABLE object | CONVERT TO DELTA object (NO STATISTICS)? (PARTITIONED BY <...>)? (NO STATISTICS)? | apply_changes
 apply_changes = APPLY CHANGES INTO object FROM (STREAM <object> | object) KEYS <object % ","> apply_part+
-apply_part = IGNORE NULL UPDATES | APPLY AS (DELETE | TRUNCATE) WHEN expr | SEQUENCE BY expr | COLUMNS (<...> | "*" EXCEPT <...>) | STORED AS SCD TYPE number | TRACK HISTORY ON ("*" EXCEPT)? <...>
+apply_part = IGNORE NULL UPDATES | where | APPLY AS (DELETE | TRUNCATE) WHEN expr | SEQUENCE BY expr | COLUMNS (<...> | "*" EXCEPT <...>) | STORED AS SCD TYPE number | TRACK HISTORY ON ("*" EXCEPT)? <...>
 create_function = CREATE _or_replace? TEMPORARY? FUNCTION _if_not_exists? object (AS string (USING ((JAR | FILE | ARCHIVE) string) % ",")? | <(name type (DEFAULT value)? (COMMENT string)?) % ","> function_part* | <> function_part*)
 function_part += RETURNS (TABLE <...>? | type) | RETURN (query | expr) | CONTAINS SQL | READS SQL DATA
-describe = (DESCRIBE | DESC) (EXTENDED | FORMATTED | TABLE | DATABASE | SCHEMA | FUNCTION | HISTORY | DETAIL | QUERY)* (object partition? object? | string | query)
+describe = (DESCRIBE | DESC) (EXTENDED | FORMATTED | TABLE | DATABASE | SCHEMA | FUNCTION | HISTORY | DETAIL | QUERY)* (object partition? object? | string | query) (LIMIT number)?
 '''
 
 GRAMMARS["databricks"] = r'''
@@ -249,9 +253,9 @@ column_constraint += FOR BIT DATA | INLINE LENGTH number | WITH DEFAULT value? |
 '''
 
 GRAMMARS["postgres"] = r'''
-_statement += copy | create_type | create_extension | create_policy | create_domain | do | listen | vacuum | analyze | reindex | cluster | lock | prepare | execute | create_materialized_view | refresh
+_statement += load | copy | create_type | create_extension | create_policy | create_domain | do | listen | vacuum | analyze | reindex | cluster | lock | prepare | execute | create_materialized_view | refresh
   | create_publication | create_procedure | alter_many | drop_many | show | discard | reset | create_aggregate | create_operator | create_server | create_statistics | import_schema | declare_cursor | fetch | create_rule | checkpoint | deallocate | security_label | set_transaction | reassign | create_tablespace
-_conflict = ON CONFLICT (<..( ")" )> where? | ON CONSTRAINT name | <...> where?)? DO (NOTHING | UPDATE SET assignment % "," where?)
+_conflict = ON CONFLICT (ON CONSTRAINT name | <...> where?)? DO (NOTHING | UPDATE SET assignment % "," where?)
 insert = INSERT INTO object alias? _names? (OVERRIDING (SYSTEM | USER) VALUE)? _insert_source _conflict? returning?
 create_table = CREATE _table_kind? TABLE _if_not_exists? object (PARTITION OF object (<...>)? _partition_bound | OF object (<...>)? | _table_body | <>) table_option*
 _partition_bound = FOR VALUES (IN <...> | FROM <...> TO <...> | WITH <...>) | DEFAULT
@@ -260,19 +264,21 @@ column_constraint += USING INDEX TABLESPACE name | STORAGE word | COMPRESSION wo
 table_constraint += (CONSTRAINT name)? EXCLUDE (USING name)? <...> where? | (CONSTRAINT name)? (PRIMARY KEY | UNIQUE) (NULLS NOT? DISTINCT)? <...> (INCLUDE <...>)? (WITH <...>)?
 create_index = CREATE UNIQUE? INDEX CONCURRENTLY? _if_not_exists? object? ON ONLY? object (USING name)? <...> (INCLUDE <...>)? (NULLS NOT? DISTINCT)? (WITH <...>)? (TABLESPACE name)? where?
 drop_index = DROP INDEX CONCURRENTLY? _if_exists? object % "," _cascade?
-create_materialized_view = CREATE MATERIALIZED VIEW _if_not_exists? object _names? (USING name | WITH <...> | TABLESPACE name)* AS query (WITH NO? DATA)?
+create_materialized_view = CREATE _or_replace? MATERIALIZED VIEW _if_not_exists? object _names? (USING name | WITH <...> | TABLESPACE name)* AS query (WITH NO? DATA)?
 create_view = CREATE _or_replace? (TEMP | TEMPORARY)? RECURSIVE? VIEW object _names? (WITH <...>)? AS (query | values) (WITH (CASCADED | LOCAL)? CHECK OPTION)?
 refresh = REFRESH MATERIALIZED VIEW CONCURRENTLY? object (WITH NO? DATA)?
 copy = COPY BINARY? (object _names? | <query | _statement>) (FROM | TO) (PROGRAM? string | STDIN | STDOUT) WITH? (<...> | ...) where?
 create_type = CREATE TYPE object (AS (ENUM <...> | RANGE <...> | <(name type (COLLATE object)?) % ","> | <>) | <...>)?
 create_domain = CREATE DOMAIN object AS? type ((CONSTRAINT name)? (NOT NULL | NULL | CHECK <expr>) | DEFAULT value | COLLATE object)*
-create_extension = CREATE EXTENSION _if_not_exists? name WITH? (SCHEMA name | VERSION (string | name) | CASCADE)*
+create_extension = CREATE EXTENSION _if_not_exists? name WITH? (SCHEMA name | VERSION (string | name) | FROM string | CASCADE)*
 create_policy = (CREATE | ALTER) POLICY name ON object (RENAME TO name | AS (PERMISSIVE | RESTRICTIVE) | FOR (ALL | SELECT | INSERT | UPDATE | DELETE) | TO grantee % "," | USING <expr> | WITH CHECK <expr>)*
 create_procedure = CREATE _or_replace? PROCEDURE object <...> function_part+
 create_function = CREATE _or_replace? FUNCTION object <...> (RETURNS (TABLE <...> | SETOF? type | TRIGGER))? function_part+
 function_part += CALLED ON NULL INPUT | RETURNS NULL ON NULL INPUT | NOT? LEAKPROOF | SECURITY (DEFINER | INVOKER) | PARALLEL word | COST number | ROWS number | WINDOW | SET name (TO | "=" | FROM) (value | CURRENT) | AS string "," string | BEGIN ATOMIC ... | TRANSFORM ...
 create_aggregate = CREATE _or_replace? AGGREGATE object <...> <...>
-create_operator = CREATE OPERATOR (CLASS | FAMILY)? ...
+create_operator = CREATE (OPERATOR (CLASS | FAMILY)? | COLLATION | TEXT SEARCH word | ACCESS METHOD | LANGUAGE | EVENT TRIGGER | CONVERSION) ...
+comment_on += COMMENT ON word+ object <...>? (ON object)? IS (string | NULL)
+load = LOAD string
 create_server = CREATE (SERVER | FOREIGN TABLE | FOREIGN DATA WRAPPER | USER MAPPING) ...
 create_statistics = CREATE STATISTICS _if_not_exists? object? (<...>)? ON ..( FROM ) FROM object
 create_publication = CREATE (PUBLICATION | SUBSCRIPTION) name ...
@@ -280,13 +286,13 @@ create_rule = CREATE _or_replace? RULE name AS ON (SELECT | INSERT | UPDATE | DE
 create_tablespace = CREATE TABLESPACE name (OWNER name)? LOCATION string (WITH <...>)?
 import_schema = IMPORT FOREIGN SCHEMA name ((LIMIT TO | EXCEPT) <...>)? FROM SERVER name INTO name (OPTIONS <...>)?
 create_schema = CREATE SCHEMA (_if_not_exists? object (AUTHORIZATION name)? | AUTHORIZATION name) _statement*
-create_database = CREATE DATABASE object WITH? (word "="? value)*
+create_database = CREATE DATABASE object WITH? (CONNECTION LIMIT "="? value | word "="? value)*
 create_user = CREATE (USER | GROUP) _if_not_exists? name WITH? role_option*
 create_role = CREATE ROLE _if_not_exists? name WITH? role_option*
 role_option = ENCRYPTED? PASSWORD (string | NULL) | VALID UNTIL string | CONNECTION LIMIT value | (IN (ROLE | GROUP) | ROLE | ADMIN | USER) name % "," | !ALTER name
 do = DO (LANGUAGE name)? string (LANGUAGE name)?
 listen = (LISTEN | UNLISTEN | NOTIFY) (name | "*") ("," string)?
-vacuum = VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE)*) (object _names?) % "," | VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE)*)
+vacuum = VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE | ANALYSE)*) (object _names?) % "," | VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE)*)
 analyze = (ANALYZE | ANALYSE) (<...>)? VERBOSE? ((object _names?) % ",")?
 reindex = REINDEX (<...>)? (INDEX | TABLE | SCHEMA | DATABASE | SYSTEM) CONCURRENTLY? object
 cluster = CLUSTER VERBOSE? (object (USING name)?)?
@@ -294,7 +300,7 @@ lock = LOCK TABLE? ONLY? object % "," (IN ..( MODE ) MODE)? NOWAIT?
 prepare = PREPARE name (<...>)? AS (query | _statement)
 execute = EXECUTE name (<...>)?
 deallocate = DEALLOCATE PREPARE? (name | ALL)
-explain = EXPLAIN (<...> | ANALYZE | VERBOSE)* (query | _statement)
+explain = EXPLAIN (<...> | ANALYZE | ANALYSE | VERBOSE)* (query | _statement)
 show = SHOW (ALL | object | word+)
 discard = DISCARD (ALL | PLANS | SEQUENCES | TEMP | TEMPORARY)
 reset = RESET (ALL | object)
@@ -304,13 +310,13 @@ fetch = (FETCH | MOVE) ...
 security_label = SECURITY LABEL (FOR name)? ON word object IS (string | NULL)
 set_transaction = SET (SESSION CHARACTERISTICS AS)? TRANSACTION ... | SET CONSTRAINTS (ALL | object % ",") (DEFERRED | IMMEDIATE) | SET (SESSION | LOCAL)? (ROLE | SESSION AUTHORIZATION) (name | string | NONE | DEFAULT) | SET (SESSION | LOCAL)? TIME ZONE (value | LOCAL | DEFAULT)
 reassign = REASSIGN OWNED BY grantee % "," TO name | DROP OWNED BY grantee % "," _cascade?
-alter_many = ALTER (DATABASE | DEFAULT PRIVILEGES | DOMAIN | EXTENSION | FUNCTION | PROCEDURE | ROUTINE | INDEX | MATERIALIZED VIEW | VIEW | ROLE | USER | SCHEMA | TYPE | TRIGGER | PUBLICATION | SUBSCRIPTION | SERVER | FOREIGN TABLE | AGGREGATE | OPERATOR | STATISTICS | TABLESPACE | EVENT TRIGGER | RULE | COLLATION) any ...
-drop_many = DROP (DOMAIN | EXTENSION | MATERIALIZED VIEW | PROCEDURE | ROUTINE | AGGREGATE | POLICY | PUBLICATION | SUBSCRIPTION | RULE | SERVER | FOREIGN TABLE | STATISTICS | TABLESPACE | OPERATOR | COLLATION | EVENT TRIGGER | GROUP) _if_exists? any ...
+alter_many = ALTER (SEQUENCE | TEXT SEARCH word | ACCESS METHOD | LANGUAGE | GROUP | DATABASE | DEFAULT PRIVILEGES | DOMAIN | EXTENSION | FUNCTION | PROCEDURE | ROUTINE | INDEX | MATERIALIZED VIEW | VIEW | ROLE | USER | SCHEMA | TYPE | TRIGGER | PUBLICATION | SUBSCRIPTION | SERVER | FOREIGN TABLE | AGGREGATE | OPERATOR | STATISTICS | TABLESPACE | EVENT TRIGGER | RULE | COLLATION) any ...
+drop_many = DROP (TEXT SEARCH word | ACCESS METHOD | LANGUAGE | USER MAPPING | FOREIGN DATA WRAPPER | DOMAIN | EXTENSION | MATERIALIZED VIEW | PROCEDURE | ROUTINE | AGGREGATE | POLICY | PUBLICATION | SUBSCRIPTION | RULE | SERVER | FOREIGN TABLE | STATISTICS | TABLESPACE | OPERATOR | COLLATION | EVENT TRIGGER | GROUP) _if_exists? any ...
 alter_table = ALTER TABLE _if_exists? ONLY? object "*"? alter_action % ","
 alter_action += ADD table_constraint (NOT VALID)? (USING INDEX name)? | VALIDATE CONSTRAINT name | (ENABLE | DISABLE | FORCE | NO FORCE) (ALWAYS | REPLICA)? (TRIGGER name | RULE name | ROW LEVEL SECURITY | TRIGGER (ALL | USER)) | ALTER COLUMN? name ((SET DATA)? TYPE type (COLLATE object)? (USING expr)? | SET (STATISTICS value | STORAGE word | <...>) | RESET <...> | ADD GENERATED ... | DROP (IDENTITY | EXPRESSION) _if_exists? | SET GENERATED ...)
   | ALTER CONSTRAINT name _deferral* | CLUSTER ON name | SET (WITHOUT (CLUSTER | OIDS) | TABLESPACE name | LOGGED | UNLOGGED | ACCESS METHOD name | <...>) | RESET <...> | NO? INHERIT object | (ATTACH PARTITION object _partition_bound) | DETACH PARTITION object (CONCURRENTLY | FINALIZE)? | REPLICA IDENTITY ... | NOT? OF object
 transaction += (ABORT | PREPARE TRANSACTION string | (COMMIT | ROLLBACK) PREPARED string)
-truncate = TRUNCATE TABLE? ONLY? (object "*"?) % "," _truncate_how?
+truncate = TRUNCATE TABLE? (ONLY? object "*"?) % "," _truncate_how?
 delete = DELETE FROM ONLY? object "*"? alias? (USING ..( WHERE | RETURNING ))? (WHERE CURRENT OF name | where)? returning?
 create_trigger = CREATE _or_replace? CONSTRAINT? TRIGGER name (BEFORE | AFTER | INSTEAD OF) trigger_event (OR trigger_event)* ON object (FROM object)? _deferral* (REFERENCING ((OLD | NEW) TABLE AS? name)+)? (FOR EACH? (ROW | STATEMENT))? (WHEN <expr>)? EXECUTE (FUNCTION | PROCEDURE) object <...>
 '''
@@ -386,23 +392,25 @@ show_more = SHOW ...
 '''
 
 GRAMMARS["mysql"] = r'''
-_statement += create_event | alter_event | drop_event | create_procedure | drop_procedure | declare | _flow | replace | load_data | lock | unlock | prepare | execute | deallocate | flush | show | analyze | check | optimize | rename_table | reset | kill | help | create_option | resignal | cursor | alter_many | handler | purge
+_statement += delimiter | _label | create_event | alter_event | drop_event | create_procedure | drop_procedure | declare | _flow | replace | load_data | lock | unlock | prepare | execute | deallocate | flush | show | analyze | check | optimize | rename_table | reset | kill | help | create_option | resignal | cursor | alter_many | handler | purge
 _character_set = DEFAULT? (CHARACTER SET | CHARSET) "="? (name | string | BINARY) | DEFAULT? COLLATE "="? (name | string)
 column_definition = name type column_constraint*
 column_constraint += ON UPDATE value | _character_set | KEY | INVISIBLE | VISIBLE | COLUMN_FORMAT word | STORAGE word | GENERATED ALWAYS AS <expr> (STORED | VIRTUAL)? | AS <expr> (STORED | VIRTUAL)? | SRID number | NOT? ENFORCED | ENGINE_ATTRIBUTE "="? string
 table_element += (FULLTEXT | SPATIAL | UNIQUE)? (INDEX | KEY) name? (USING word)? <...> index_option* | FULLTEXT name? <...> index_option*
 index_option = USING (BTREE | HASH) | COMMENT string | KEY_BLOCK_SIZE "="? number | VISIBLE | INVISIBLE | WITH PARSER name
-table_constraint = (CONSTRAINT name?)? (PRIMARY KEY (USING word)? <...> | UNIQUE (INDEX | KEY)? name? (USING word)? <...> | FOREIGN KEY name? _names references | CHECK <expr> (NOT? ENFORCED)?) index_option*
+delimiter = DELIMITER ... | END any? ... | DELIMITER
+_label = name ":" (BEGIN | LOOP | REPEAT | WHILE) ...
+table_constraint = (CONSTRAINT !FOREIGN name)? CONSTRAINT? (PRIMARY KEY (USING word)? <...> | UNIQUE (INDEX | KEY)? name? (USING word)? <...> | FOREIGN KEY name? _names references | CHECK <expr> (NOT? ENFORCED)?) index_option*
 table_option += ","? ((ENGINE | AUTO_INCREMENT | AVG_ROW_LENGTH | CHECKSUM | COMPRESSION | CONNECTION | DELAY_KEY_WRITE | ENCRYPTION | INSERT_METHOD | KEY_BLOCK_SIZE | MAX_ROWS | MIN_ROWS | PACK_KEYS | ROW_FORMAT | STATS_AUTO_RECALC | STATS_PERSISTENT | TABLESPACE) "="? value | (DATA | INDEX) DIRECTORY "="? string | _character_set | UNION "="? <...>)
   | PARTITION BY LINEAR? (HASH | KEY | RANGE | LIST) COLUMNS? (ALGORITHM "=" number)? <...> (PARTITIONS number)? (SUBPARTITION BY LINEAR? (HASH | KEY) <...> (SUBPARTITIONS number)?)? <...>? | (IGNORE | REPLACE)
 insert = INSERT (LOW_PRIORITY | DELAYED | HIGH_PRIORITY)? IGNORE? INTO? object (PARTITION _names)? (_names? _insert_source | <> _insert_source | SET assignment % ",") (AS name _names?)? (ON DUPLICATE KEY UPDATE assignment % ",")?
-_insert_source += VALUE (<_row_value % ",">) % "," | VALUES (ROW <...>) % "," | TABLE object | VALUES <> % ","
+_insert_source += (values | VALUE <...>) AS name _names? | VALUE (<_row_value % ",">) % "," | VALUES (ROW <...>) % "," | TABLE object | VALUES <> % ","
 replace = REPLACE (LOW_PRIORITY | DELAYED)? INTO? object (PARTITION _names)? (_names? _insert_source | SET assignment % ",")
 update = UPDATE LOW_PRIORITY? IGNORE? ..( SET ) SET assignment % "," where? (ORDER BY ..( LIMIT ) )? (ORDER BY exprs)? (LIMIT number)?
 delete = DELETE (LOW_PRIORITY | QUICK | IGNORE)* (FROM object alias? (PARTITION _names)? where? (ORDER BY exprs)? (LIMIT number)? | FROM ..( USING ) USING ... | ..( FROM ) FROM ...)
 create_procedure = CREATE definer? PROCEDURE _if_not_exists? object <...> routine_part* routine_body
 create_function = CREATE definer? AGGREGATE? FUNCTION _if_not_exists? object (<...> RETURNS type (_character_set)? routine_part* routine_body | RETURNS word SONAME string)
-definer = DEFINER "=" (string | name | CURRENT_USER) any? (string | name)?
+definer = DEFINER "=" (string | name | CURRENT_USER) ("@" (string | name))?
 routine_part = COMMENT string | LANGUAGE SQL | NOT? DETERMINISTIC | CONTAINS SQL | NO SQL | READS SQL DATA | MODIFIES SQL DATA | SQL SECURITY (DEFINER | INVOKER)
 routine_body = (name ":")? BEGIN ... | RETURN expr | query | _statement
 drop_procedure = DROP PROCEDURE _if_exists? object
@@ -420,7 +428,7 @@ alter_action += table_option | ADD table_element | ADD COLUMN? <column_definitio
 rename_table = RENAME TABLE (object TO object) % "," | RENAME USER (any TO any) % ","
 load_data = LOAD (DATA | XML) (LOW_PRIORITY | CONCURRENT)? LOCAL? INFILE string (REPLACE | IGNORE)? INTO TABLE object ...
 declare = DECLARE (name % "," type (DEFAULT expr)? | name CONDITION FOR ... | name CURSOR FOR query | (CONTINUE | EXIT | UNDO) HANDLER FOR ..( BEGIN | SET | SELECT ) routine_body | (CONTINUE | EXIT | UNDO) HANDLER FOR ...)
-set_statement = SET (GLOBAL | SESSION | LOCAL | PERSIST | "@@")? ((object | any | NAMES) (("=" | ":=") expr)?) % "," | SET (NAMES | CHARACTER SET | CHARSET) (name | string) (COLLATE (name | string))? | SET (GLOBAL | SESSION)? TRANSACTION ... | SET PASSWORD ... | SET DEFAULT? ROLE ...
+set_statement = SET (GLOBAL | SESSION | LOCAL | PERSIST | "@@")? ((object | any | NAMES) (("=" | ":=") (ON | expr))?) % "," | SET (NAMES | CHARACTER SET | CHARSET) (name | string) (COLLATE (name | string))? | SET (GLOBAL | SESSION)? TRANSACTION ... | SET PASSWORD ... | SET DEFAULT? ROLE ...
 _flow = IF expr THEN ... | (ELSEIF | ELSE) ... | END (IF | LOOP | REPEAT | WHILE | CASE)? name? | (name ":")? (LOOP | REPEAT | WHILE) ... | (LEAVE | ITERATE) name | RETURN expr | UNTIL expr END REPEAT
 resignal = (SIGNAL | RESIGNAL) ... | GET (CURRENT | STACKED)? DIAGNOSTICS ...
 cursor = (OPEN | CLOSE) name | FETCH ((NEXT)? FROM)? name INTO name % ","
@@ -560,7 +568,7 @@ replace = REPLACE INTO object _names? _insert_source
 update = UPDATE (OR (REPLACE | ROLLBACK | ABORT | FAIL | IGNORE))? object alias? SET assignment % "," (FROM (..( WHERE | RETURNING ) | ...))? where? returning?
 create_trigger = CREATE (TEMP | TEMPORARY)? TRIGGER _if_not_exists? object (BEFORE | AFTER | INSTEAD OF)? trigger_event ON object (FOR EACH ROW)? (WHEN expr)? BEGIN ...
 create_virtual = CREATE VIRTUAL TABLE _if_not_exists? object USING name <...>?
-pragma = PRAGMA object ("=" value | <...>)?
+pragma = PRAGMA object ("=" (value | ON | OFF) | <...>)?
 attach = ATTACH DATABASE? value AS name | DETACH DATABASE? name
 vacuum = VACUUM name? (INTO value)?
 reindex = REINDEX object?

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import analysis, data_tests, editor, lint, rendering
-from . import relational, surface
+from ..operators import data_tests
+from . import corpus, relational, surface
 
 FLAGSHIP = "pricing_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.queries() | surface.queries() | data_tests.queries() | lint.queries() | analysis.queries() | rendering.queries() | editor.queries()
+    return relational.queries() | surface.queries() | data_tests.queries() | corpus.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | surface.oracle_sql() | data_tests.oracle_sql() | analysis.oracle_sql() | rendering.oracle_sql() | editor.oracle_sql()
+    return relational.oracle_sql() | surface.oracle_sql() | data_tests.oracle_sql() | corpus.oracle_sql()

@@ -254,7 +254,7 @@ LINEAGE = "path string, output string, node int, parent int, name string, expres
 
 def _table(df: DataFrame, schema: str, of) -> DataFrame:
     """``of(source)`` for each row; a text that it refuses gives one row with nulls but for its path."""
-    kinds = {"string": pa.string(), "int": pa.int32()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     fields = [x.split() for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +276,32 @@ def trees(files: DataFrame, dialect: str = "ansi") -> DataFrame:
     return _table(files, "path string, node int, parent int, ord int, kind string, pre int, post int, depth int, raw string, start int, line int, pos int", lambda _, s: Tree(s, dialect).rows())
 
 
+def ancestors(files: DataFrame, dialect: str = "ansi") -> DataFrame:
+    """(path, node, above, kinds): the nodes above each node and token from the root down, and their kinds, in one pass."""
+
+    def of(_: str, source: str) -> list[tuple]:
+        rows, stacks = Tree(source, dialect).rows(), {}
+        for node, parent, _, kind, *_ in rows:
+            stacks[node] = ([], []) if parent is None else ([*stacks[parent][0], parent], [*stacks[parent][1], rows[parent][3]])
+        return [(node, *stacks[node]) for node, *_ in rows]
+
+    return _table(files, "path string, node int, above array<int>, kinds array<string>", of)
+
+
+def kind_sets(files: DataFrame, dialect: str = "ansi") -> DataFrame:
+    """(path, node, kinds): the sorted kinds of what is in each node, its own included; rules prune by them."""
+
+    def of(_: str, source: str) -> list[tuple]:
+        rows = Tree(source, dialect).rows()
+        found: list[set[str]] = [{r[3]} for r in rows]
+        for node, parent, *_ in reversed(rows):
+            if parent is not None:
+                found[parent] |= found[node]
+        return [(node, sorted(found[node])) for node, *_ in rows]
+
+    return _table(files, "path string, node int, kinds array<string>", of)
+
+
 def descendants(nodes: DataFrame, of: list[str], kinds: list[str], but: tuple[str, ...] = ()) -> DataFrame:
     """(path, ancestor, node, kind): nodes of ``kinds`` below nodes of kinds ``of``, with none of kinds ``but`` between."""
     a = nodes.where(F.col("kind").isin(of)).select("path", F.col("node").alias("ancestor"), F.col("pre").alias("__lo"), F.col("post").alias("__hi"))

@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "semantic_tokens": lambda spark, sf_dir: editor.semantic_tokens(files(spark, sf_dir)).groupBy("path", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("units")),
     "syntax_trees": lambda spark, sf_dir: analysis.trees(files(spark, sf_dir)).where(F.col("kind").isin(*KINDS)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")),
     "tree_descendants": lambda spark, sf_dir: analysis.descendants(analysis.trees(files(spark, sf_dir)), ["select"], ["column_ref"], ("query",)).groupBy("path").agg(F.count(F.lit(1)).alias("n")),
+    "tree_ancestors": lambda spark, sf_dir: analysis.ancestors(files(spark, sf_dir)).where(F.array_contains("kinds", "select") & (F.element_at("kinds", -1) == "column_ref")).groupBy("path").agg(F.count(F.lit(1)).alias("n")),
+    "tree_kind_sets": lambda spark, sf_dir: analysis.kind_sets(files(spark, sf_dir)).where("node = 0").select("path", F.array_contains("kinds", "join").alias("joins"), F.array_contains("kinds", "comment").alias("comments"), F.array_contains("kinds", "unparsable").alias("broken")),
     "output_columns": lambda spark, sf_dir: analysis.columns(files(spark, sf_dir)),
     "lineage_graph": lambda spark, sf_dir: analysis.lineage(files(spark, sf_dir)).groupBy("path", "output").agg(F.count(F.lit(1)).alias("n"), F.max("reference").alias("reference")),
     "lineage_origins": lambda spark, sf_dir: analysis.origins(analysis.lineage(files(spark, sf_dir))),
@@ -140,6 +142,9 @@ ORACLE: dict[str, str] = {
     "semantic_tokens": f"{TOKENS} SELECT path, class, count(*) AS n, CAST(sum(len(raw)) AS BIGINT) AS units FROM (SELECT path, raw, CASE kind WHEN 'keyword' THEN 'keyword' WHEN 'word' THEN 'variable' WHEN 'quoted_literal' THEN 'string' WHEN 'number' THEN 'number' WHEN 'comment' THEN 'comment' WHEN 'operator' THEN 'operator' WHEN 'comparison' THEN 'operator' END AS class FROM tok) WHERE class IS NOT NULL GROUP BY path, class",
     "syntax_trees": " UNION ALL ".join(f"SELECT path, '{kind}' AS kind, CAST({how} AS BIGINT) AS n FROM ({MODELS}) WHERE {how} > 0" for kind, how in _COUNTS.items()),
     "tree_descendants": f"SELECT path, CAST({_COUNTS['column_ref']} AS BIGINT) AS n FROM ({MODELS})",
+    # each reference is a name, a dot and a name
+    "tree_ancestors": f"SELECT path, CAST(3 * {_COUNTS['column_ref']} AS BIGINT) AS n FROM ({MODELS})",
+    "tree_kind_sets": f"SELECT path, source LIKE '%JOIN%' AS joins, source LIKE '%--%' AS comments, false AS broken FROM ({MODELS})",
     "output_columns": f"SELECT path, {_COLUMN} AS \"column\", 1 AS named FROM ({MODELS}) UNION ALL SELECT path, 'n', 1 FROM ({MODELS})",
     "lineage_graph": f"SELECT path, {_COLUMN} AS output, CAST(2 AS BIGINT) AS n, {_TABLE} AS reference FROM ({MODELS}) UNION ALL SELECT path, 'n', CASE WHEN source LIKE '%MAX(%' THEN 2 ELSE 1 END, CASE WHEN source LIKE '%MAX(%' THEN {_TABLE} ELSE '' END FROM ({MODELS})",
     "lineage_origins": f"SELECT path, {_COLUMN} AS output, {_TABLE} AS reference, {_COLUMN} AS \"column\" FROM ({MODELS}) UNION ALL SELECT path, 'n', {_TABLE}, 'v' FROM ({MODELS}) WHERE source LIKE '%MAX(%'",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 #: Defaults that the operators read.
 DEFAULTS: dict = {"core": {"dialect": None, "templater": "raw", "rules": "core", "exclude_rules": None, "runaway_limit": 10, "sql_file_exts": ".sql,.sql.j2,.dml,.ddl", "warn_unused_ignores": False, "max_line_length": 80}}
 
@@ -59,7 +57,8 @@ def merge(*configs: dict) -> dict:
 
 def of_file(path: str, configs: dict[str, dict]) -> dict:
     """The configuration of a file; ``configs`` has that of each folder that has one."""
-    folders = [str(p) for p in reversed(PurePosixPath(path).parents)]
+    parts = path.split("/")[:-1]
+    folders = ["/".join(parts[:k]) or "/" for k in range(1, len(parts) + 1)] or ["."]
     return merge(DEFAULTS, *(configs[f] for f in folders if f in configs))
 
 

@@ -1,4 +1,4 @@
-"""Rendering of templated SQL: raw, placeholder and format templates, with slices that map the source to the rendered text."""
+"""Rendering of templated SQL: raw, placeholder, format and Jinja templates, with slices that map the source to the rendered text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import re
 import string
 from typing import NamedTuple
 
+from . import jinja
+
 #: The places that each style gives parameters; a group ``param_name`` names one, others are numbered from 1.
 STYLES = {
     "colon": r"(?<![:\w\\]):(?P<param_name>\w+)(?!:)",
@@ -24,7 +26,7 @@ STYLES = {
 
 
 class Slice(NamedTuple):
-    kind: str  # literal or templated
+    kind: str  # literal, templated, or block and comment, which come out as nothing
     source_start: int
     source_end: int
     start: int
@@ -105,4 +107,7 @@ def render(source: str, templater: str = "raw", values: dict | None = None, styl
         return placeholder(source, values or {}, style, regex)
     if templater == "python":
         return formatted(source, values or {})
+    if templater in ("jinja", "dbt"):
+        pieces, _ = jinja.render(source, jinja.model_values(values or {}) if templater == "dbt" else values or {})
+        return _join(pieces)
     raise ValueError(f"unknown templater: {templater}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from ..functions.grammar import Grammar
@@ -36,8 +37,6 @@ def opening_words(dialect: str) -> frozenset[str]:
     g = grammar(dialect)
 
     def first(body: str, seen: frozenset[str]) -> None:
-        import re
-
         for part in re.split(r"\|", body):
             m = re.match(r"[\s(]*(\w+)", part)
             if m and m[1].isupper():
@@ -47,3 +46,11 @@ def opening_words(dialect: str) -> frozenset[str]:
 
     first(g.bodies["_statement"], frozenset())
     return frozenset(found)
+
+
+@cache
+def keywords(dialect: str) -> frozenset[str]:
+    """All words that the dialect's statements and queries have a meaning for, in lower case."""
+    from ..functions.lexing import KEYWORDS
+
+    return KEYWORDS | {w.lower() for body in grammar(dialect).bodies.values() for w in re.findall(r"\b[A-Z][A-Z_]+\b", re.sub(r"\"[^\"]*\"", "", body))}

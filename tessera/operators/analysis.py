@@ -61,6 +61,8 @@ class Scopes:
         self.views = {k.lower(): v for k, v in (views or {}).items()}
         self.dialect, self.depth = dialect, 0
         self.joins: list[str] = []
+        #: (tree, select, its sources, those around it) of every select in the order they were resolved.
+        self.seen: list[tuple[Tree, Node, list[Source], list[Source]]] = []
 
     def of_text(self, sql: str) -> list[Column]:
         tree = Tree(sql, self.dialect)
@@ -193,7 +195,11 @@ class Scopes:
 
     def select(self, tree: Tree, select: Node, ctes: dict[str, Source], outer: list[Source]) -> list[Column]:
         sources = self.sources(tree, select, ctes, outer)
+        self.seen.append((tree, select, sources, outer))
         clause, out = select.child("select_clause"), []
+        for k in select.kids:  # queries in conditions have scopes too, though no output comes from them
+            if k.kind not in ("select_clause", "from_clause"):
+                self.inner_queries(tree, k, ctes, [*sources, *outer])
         grouped = select.child("group_by") is not None
         missing = {id(c) for s in sources if s.outer for c in (s.columns or ())}
         for target in clause.children("target") if clause else ():
@@ -229,6 +235,134 @@ class Scopes:
         return out
 
 
+QUALIFY_STEPS = ("expand_sources", "qualify_tables", "qualify_columns", "expand_stars", "qualify_outputs")
+
+
+def qualified(sql: str, schema: dict[str, list[str]] | None = None, views: dict[str, str] | None = None, dialect: str = "ansi") -> dict[str, str]:
+    """The text after each step of qualification: views in the place of their names, an alias for every source (``_q_N``
+    where there is none), the source of every column that only one exposes, columns for stars, names for outputs."""
+    out, text = {}, sql
+    for step in QUALIFY_STEPS:
+        for _ in range(DEPTH if step == "expand_sources" else 1):
+            scopes = Scopes(schema, {} if step == "expand_sources" else None, dialect)
+            scopes.of_text(text)
+            edits = [e for tree, select, sources, outer in scopes.seen for e in _STEPS[step](scopes, tree, select, sources, outer, views or {})]
+            if not edits:
+                break
+            for a, b, new in sorted(set(edits), key=lambda e: (e[0], e[1]), reverse=True):
+                text = text[:a] + new + text[b:]
+        out[step] = text
+    return out
+
+
+def _place(tree: Tree, n: Node) -> tuple[int, int]:
+    return tree.code[n.lo].start, tree.code[n.hi - 1].start + len(tree.code[n.hi - 1].raw)
+
+
+def _own(n: Node | None, *kinds: str) -> Iterator[Node]:
+    return (k for k in n.walk(*kinds, into=lambda x: x.kind != "query") if k is not n) if n is not None else iter(())
+
+
+def _expand_sources(scopes: Scopes, tree: Tree, select: Node, sources: list[Source], outer: list[Source], views: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    known = {k.lower(): v for k, v in views.items()}
+    ctes = {plain(tree.raw(c.child("name"))).lower() for c in tree.root.walk("cte") if c.child("name")}
+    for s in _own(select.child("from_clause"), "source"):
+        inner = s.kids[0]
+        name = ".".join(plain(p) for p in tree.raw(inner).split(".")) if inner.kind == "table_ref" else ""
+        if name and name.lower() in known and name.lower() not in ctes:
+            a, b = _place(tree, inner)
+            yield a, b, f"({known[name.lower()].strip().rstrip(';')})" + ("" if s.child("alias") else f" AS {name.rpartition('.')[2]}")
+
+
+def _qualify_tables(scopes: Scopes, tree: Tree, select: Node, sources: list[Source], outer: list[Source], views: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    n = 0
+    for s in _own(select.child("from_clause"), "source"):
+        inner, alias = s.kids[0], s.child("alias")
+        if alias and alias.child("name") or inner.kind not in ("table_ref", "derived"):
+            continue
+        b = _place(tree, inner)[1]
+        if inner.kind == "table_ref":
+            yield b, b, f" AS {tree.raw(inner).rpartition('.')[2]}"
+        else:
+            yield b, b, f" AS _q_{n}"
+            n += 1
+
+
+def _qualify_columns(scopes: Scopes, tree: Tree, select: Node, sources: list[Source], outer: list[Source], views: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    outputs = {plain(tree.raw(t.child("alias").child("name"))).lower() for t in _own(select.child("select_clause"), "target") if t.child("alias") and t.child("alias").child("name")}
+    using = {id(k) for j in _own(select.child("from_clause"), "using") for k in j.walk("column_ref")}
+    for r in _own(select, "column_ref"):
+        raw = tree.raw(r)
+        late = any(k.kind in ("order_by", "group_by", "having", "qualify") and k.lo <= r.lo < k.hi for k in select.kids)
+        if "." in raw or id(r) in using or late and plain(raw).lower() in outputs:
+            continue
+        having = [s for s in sources if s.columns is not None and s.get(plain(raw))]
+        unknown = [s for s in sources if s.columns is None]
+        found = having[0] if len(having) == 1 else unknown[0] if not having and len(unknown) == len(sources) == 1 else None
+        if found is not None and found.alias:
+            a, b = _place(tree, r)
+            yield a, b, f"{found.alias}.{raw}"
+
+
+def _expand_stars(scopes: Scopes, tree: Tree, select: Node, sources: list[Source], outer: list[Source], views: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    for t in _own(select.child("select_clause"), "target"):
+        star = t.kids[0].child("star")
+        if star is None or t.kids[0].kids[0] is not star:
+            continue
+        prefix = plain(tree.raw(star).rpartition(".")[0].rpartition(".")[2]).lower()
+        meant = [s for s in sources if not prefix or s.alias.lower() == prefix]
+        if not meant or any(s.columns is None for s in meant):
+            continue
+        modifier = t.kids[0].child("star_modifier")
+        gone = {plain(tree.raw(k)).lower() for k in modifier.walk("column_ref")} if modifier else set()
+        a, b = _place(tree, t)
+        yield a, b, ", ".join(f"{s.alias}.{c.name} AS {c.name}" for s in meant for c in s.columns if c.name.lower() not in gone)
+
+
+def _qualify_outputs(scopes: Scopes, tree: Tree, select: Node, sources: list[Source], outer: list[Source], views: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    for i, t in enumerate(_own(select.child("select_clause"), "target")):
+        value = t.kids[0]
+        if t.child("alias") or not value.kids or value.kids[0].kind == "star":
+            continue
+        only = len(value.kids) == 1 and (value.kids[0].lo, value.kids[0].hi) == (value.lo, value.hi) and value.kids[0].kind == "column_ref"
+        b = _place(tree, t)[1]
+        yield b, b, f" AS {tree.raw(value).rpartition('.')[2] if only else f'_col_{i}'}"
+
+
+_STEPS = {"expand_sources": _expand_sources, "qualify_tables": _qualify_tables, "qualify_columns": _qualify_columns, "expand_stars": _expand_stars, "qualify_outputs": _qualify_outputs}
+
+
+def qualify(files: DataFrame, schema: dict[str, list[str]] | None = None, views: dict[str, str] | None = None, dialect: str = "ansi") -> DataFrame:
+    """(path, step, source): each text after each step of qualification."""
+    return _table(files, "path string, step string, source string", lambda _, s: list(qualified(s, schema, views, dialect).items())).where("step IS NOT NULL")
+
+
+def scope_rows(sql: str, schema: dict[str, list[str]] | None = None, dialect: str = "ansi") -> list[tuple]:
+    """(scope, kind, source, table, place) of each source of each select; a scope is told by the place of its select."""
+    scopes, rows = Scopes(schema, None, dialect), []
+    scopes.of_text(sql)
+    for tree, select, sources, outer in scopes.seen:
+        within = next((n.kind for n in reversed(_above(tree.root, select)) if n.kind in ("cte", "derived", "subquery", "set_expression")), "root")
+        at = tree.code[select.lo].start
+        rows.append((at, within, None, None, 0))
+        rows += [(at, "source" if s.table or s.columns is not None else "function", s.alias, s.table, k + 1) for k, s in enumerate(sources)]
+    return sorted(rows, key=lambda r: (r[0], r[4]))
+
+
+def _above(root: Node, target: Node) -> list[Node]:
+    for k in root.kids:
+        if k is target:
+            return [root]
+        if k.lo <= target.lo and target.hi <= k.hi and (found := _above(k, target)):
+            return [root, *found]
+    return []
+
+
+def scopes(files: DataFrame, schema: dict[str, list[str]] | None = None, dialect: str = "ansi") -> DataFrame:
+    """(path, scope, kind, alias, table, ord): the scopes of each text (root, cte, derived, subquery, set) and their sources."""
+    return _table(files, "path string, scope int, kind string, alias string, table string, ord int", lambda _, s: scope_rows(s, schema, dialect)).where("scope IS NOT NULL")
+
+
 def output_columns(sql: str, dialect: str = "ansi") -> tuple[list[str], list[str]]:
     """(named, unnamed) outputs of the last statement."""
     found = Scopes(dialect=dialect).of_text(sql)

@@ -29,6 +29,8 @@ FROM part
 """
 BROKEN = f"SELECT path, CASE WHEN path LIKE '%7.sql' THEN replace(source, 'SELECT', 'SELEC') ELSE source END AS source FROM ({MODELS})"
 TEMPLATES = "SELECT concat('q/', p_partkey, '.sql') AS path, concat('SELECT :col FROM t', p_size, ' WHERE a = :v', CASE WHEN p_partkey % 2 = 0 THEN ' AND b::int = 1 OR c = :none' ELSE '' END) AS source FROM part"
+#: Nothing is qualified here.
+BARE = """SELECT concat('b', p_partkey) AS path, concat('WITH q AS (SELECT * FROM t', p_size, ')', ' SELECT ', CASE WHEN p_partkey % 2 = 0 THEN '*' ELSE 'v, max(w)' END, ' FROM q JOIN (SELECT w FROM u', p_size, ') ON v = w') AS source FROM part"""
 #: Assertions on the sources and on some of the models.
 ASSERTIONS = f"""
 SELECT 'not_null' AS kind, concat('t', p_size) AS path, concat('c', p_size) AS column, NULL AS value FROM part GROUP BY p_size
@@ -76,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_columns": lambda spark, sf_dir: analysis.columns(files(spark, sf_dir)),
     "lineage_graph": lambda spark, sf_dir: analysis.lineage(files(spark, sf_dir)).groupBy("path", "output").agg(F.count(F.lit(1)).alias("n"), F.max("reference").alias("reference")),
     "lineage_origins": lambda spark, sf_dir: analysis.origins(analysis.lineage(files(spark, sf_dir))),
+    "qualified_sql": lambda spark, sf_dir: analysis.qualify(files(spark, sf_dir, BARE), {f"t{k}": [f"c{k}", "v"] for k in range(1, 51)} | {f"u{k}": ["id", "w"] for k in range(1, 51)}).where("step = 'qualify_outputs'").select("path", "source"),
+    "query_scopes": lambda spark, sf_dir: analysis.scopes(files(spark, sf_dir, BARE)).select("path", "kind", "alias", "table", "ord"),
     "infer_tests": lambda spark, sf_dir: analysis.infer(files(spark, sf_dir), _tests(spark, sf_dir)).select("kind", "path", "column", "value", "reason"),
     "skippable_tests": lambda spark, sf_dir: analysis.skippable(files(spark, sf_dir), _tests(spark, sf_dir)).where("path LIKE 'models/%'").select("kind", "path", "column", "action"),
     "render_placeholders": lambda spark, sf_dir: _rendered(spark, sf_dir).select("path", "rendered"),
@@ -148,6 +152,8 @@ ORACLE: dict[str, str] = {
     "output_columns": f"SELECT path, {_COLUMN} AS \"column\", 1 AS named FROM ({MODELS}) UNION ALL SELECT path, 'n', 1 FROM ({MODELS})",
     "lineage_graph": f"SELECT path, {_COLUMN} AS output, CAST(2 AS BIGINT) AS n, {_TABLE} AS reference FROM ({MODELS}) UNION ALL SELECT path, 'n', CASE WHEN source LIKE '%MAX(%' THEN 2 ELSE 1 END, CASE WHEN source LIKE '%MAX(%' THEN {_TABLE} ELSE '' END FROM ({MODELS})",
     "lineage_origins": f"SELECT path, {_COLUMN} AS output, {_TABLE} AS reference, {_COLUMN} AS \"column\" FROM ({MODELS}) UNION ALL SELECT path, 'n', {_TABLE}, 'v' FROM ({MODELS}) WHERE source LIKE '%MAX(%'",
+    "qualified_sql": """SELECT concat('b', p_partkey) AS path, concat('WITH q AS (SELECT t', p_size, '.c', p_size, ' AS c', p_size, ', t', p_size, '.v AS v FROM t', p_size, ' AS t', p_size, ')', ' SELECT ', CASE WHEN p_partkey % 2 = 0 THEN concat('q.c', p_size, ' AS c', p_size, ', q.v AS v, _q_0.w AS w') ELSE 'q.v AS v, max(_q_0.w) AS _col_1' END, ' FROM q AS q JOIN (SELECT u', p_size, '.w AS w FROM u', p_size, ' AS u', p_size, ') AS _q_0 ON q.v = _q_0.w') AS source FROM part""",
+    "query_scopes": """SELECT concat('b', p_partkey) AS path, unnest(['cte', 'source', 'root', 'source', 'source', 'derived', 'source']) AS kind, unnest([NULL, concat('t', p_size), NULL, 'q', '_q_1', NULL, concat('u', p_size)]) AS alias, unnest([NULL, concat('t', p_size), NULL, '', '', NULL, concat('u', p_size)]) AS "table", unnest([0, 1, 0, 1, 2, 0, 1]) AS ord FROM part""",
     "infer_tests": f"""SELECT 'not_null' AS kind, path, {_COLUMN} AS "column", NULL::VARCHAR AS value, 'underlying_test' AS reason FROM ({MODELS})
       UNION ALL SELECT 'greater_than', path, 'n', '0', 'underlying_test_with_operation:max' FROM ({MODELS}) WHERE source LIKE '%MAX(%'
       UNION ALL SELECT unnest(['not_null', 'greater_than_or_equal']), path, 'n', unnest([NULL, '0']), 'count_star' FROM ({MODELS}) WHERE source LIKE '%COUNT(*)%'""",

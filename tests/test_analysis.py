@@ -57,3 +57,25 @@ def test_tree_table(spark):
     nodes = A.trees(strings(spark, {"x": "SELECT a, (SELECT b FROM u) FROM t\n"}))
     inner = A.descendants(nodes, ["select"], ["column_ref"], ("query",)).collect()
     assert len(inner) == 2 and A.descendants(nodes, ["select"], ["column_ref"]).count() == 3
+
+
+QUALIFY = [
+    ("SELECT a FROM t", "SELECT t.a AS a FROM t AS t"), ("SELECT * FROM t JOIN u ON b = c", "SELECT t.a AS a, t.b AS b, u.c AS c, u.d AS d FROM t AS t JOIN u AS u ON t.b = u.c"),
+    ("SELECT x.* FROM t AS x, (SELECT c FROM u)", "SELECT x.a AS a, x.b AS b FROM t AS x, (SELECT u.c AS c FROM u AS u) AS _q_0"), ("SELECT a + 1, b FROM t ORDER BY b", "SELECT t.a + 1 AS _col_0, t.b AS b FROM t AS t ORDER BY t.b"),
+    ("SELECT a AS z FROM t GROUP BY z HAVING z > 1", "SELECT t.a AS z FROM t AS t GROUP BY z HAVING z > 1"), ("SELECT m FROM v", "SELECT v.m AS m FROM (SELECT t.a AS m FROM t AS t) AS v"), ("SELECT q.a FROM t q JOIN unknown w ON q.a = w.k", "SELECT q.a AS a FROM t q JOIN unknown w ON q.a = w.k"),
+    ("WITH c AS (SELECT a, b FROM t) SELECT * FROM c", "WITH c AS (SELECT t.a AS a, t.b AS b FROM t AS t) SELECT c.a AS a, c.b AS b FROM c AS c"), ("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE d = a)", "SELECT t.a AS a FROM t AS t WHERE EXISTS (SELECT 1 AS _col_0 FROM u AS u WHERE u.d = a)"),
+    ("SELECT s.x.a FROM s.x", "SELECT s.x.a AS a FROM s.x AS x"),
+]
+
+
+@pytest.mark.parametrize(("sql", "want"), QUALIFY)
+def test_qualification(sql, want):
+    got = A.qualified(sql, {"t": ["a", "b"], "u": ["c", "d"]}, {"v": "SELECT a AS m FROM t"})
+    assert got["qualify_outputs"] == want
+    assert A.qualified(want, {"t": ["a", "b"], "u": ["c", "d"]})["qualify_outputs"] == want
+
+
+def test_scopes():
+    rows = A.scope_rows("WITH c AS (SELECT a FROM t) SELECT a FROM c UNION ALL SELECT x FROM (SELECT x FROM u) AS d WHERE EXISTS (SELECT 1 FROM w)")
+    assert [r[1] for r in rows if r[4] == 0] == ["cte", "set_expression", "set_expression", "derived", "subquery"]
+    assert [r[2] for r in rows if r[4]] == ["t", "c", "d", "u", "w"]

@@ -63,7 +63,7 @@ def lex(text: str, dialect: str = "ansi") -> list[Token]:
     out, at, line, begin = [], 0, 1, 0
     match = pattern(dialect).match
     while at < len(text):
-        if text.startswith("/*", at):
+        if text[at] == "/" and text.startswith("/*", at):
             kind, end = "block_comment", block_comment(text, at)
         else:
             m = match(text, at)

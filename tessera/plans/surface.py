@@ -111,8 +111,8 @@ SQL: dict[str, tuple[str | Callable[[SparkSession, str], DataFrame], str]] = {
     "like_escape": ("SELECT p_partkey, p_brand || '_x' LIKE 'Brand#1%!_x' ESCAPE '!' AS yes FROM part", "SELECT p_partkey, p_brand || '_x' LIKE 'Brand#1%!_x' ESCAPE '!' AS yes FROM part"),
     "nan_and_truth": ("SELECT s_suppkey, isnan(CASE WHEN s_acctbal < 0 THEN double('NaN') ELSE s_acctbal END) AS nan, (s_acctbal > 0) IS TRUE AS t, nullif(s_nationkey, 3) > 5 IS NOT FALSE AS f FROM supplier", "SELECT s_suppkey, isnan(CASE WHEN s_acctbal < 0 THEN 'NaN'::DOUBLE ELSE s_acctbal END) AS nan, (s_acctbal > 0) IS TRUE AS t, (nullif(s_nationkey, 3) > 5) IS DISTINCT FROM FALSE AS f FROM supplier"),
     "shift_xor_sign": ("SELECT p_partkey, p_size ^ 5 AS x, p_size >> 1 AS r, p_size << 2 AS l, ~p_size AS inv, -p_size AS neg, +p_size AS pos, CAST(sign(p_size - 25) AS INT) AS s FROM part", "SELECT p_partkey, xor(p_size, 5) AS x, p_size >> 1 AS r, p_size << 2 AS l, ~p_size AS inv, -p_size AS neg, +p_size AS pos, CAST(sign(p_size - 25) AS INTEGER) AS s FROM part"),
-    "cast_shorthand": ("SELECT o_orderkey::string AS s, o_totalprice::int AS i, o_orderdate::date AS d, try_cast(o_orderstatus AS INT) AS t FROM orders", "SELECT o_orderkey::VARCHAR AS s, CAST(trunc(o_totalprice) AS INTEGER) AS i, o_orderdate::DATE AS d, try_cast(o_orderstatus AS INTEGER) AS t FROM orders"),
-    "date_units": ("SELECT o_orderkey, dateadd(MONTH, 1, o_orderdate) AS m, timestampadd(HOUR, -5, o_orderdate) AS h, datediff(DAY, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS d, last_day(o_orderdate) AS l FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate - INTERVAL 5 HOUR AS h, datediff('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS d, last_day(o_orderdate) AS l FROM orders"),
+    "cast_shorthand": ("SELECT o_orderkey::string AS s, o_totalprice::int AS i, o_orderdate::date::string AS d, try_cast(o_orderstatus AS INT) AS t FROM orders", "SELECT o_orderkey::VARCHAR AS s, CAST(trunc(o_totalprice) AS INTEGER) AS i, o_orderdate::DATE::VARCHAR AS d, try_cast(o_orderstatus AS INTEGER) AS t FROM orders"),
+    "date_units": ("SELECT o_orderkey, dateadd(MONTH, 1, o_orderdate) AS m, timestampadd(HOUR, -5, o_orderdate) AS h, datediff(DAY, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS d, CAST(last_day(o_orderdate) AS STRING) AS l FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate - INTERVAL 5 HOUR AS h, datediff('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS d, CAST(last_day(o_orderdate) AS VARCHAR) AS l FROM orders"),
     "bare_functions": ("SELECT n_nationkey, current_date = to_date(current_timestamp) AS d, current_timestamp = now() AS t, current_user IS NOT NULL AS u FROM nation", "SELECT n_nationkey, current_date = CAST(now() AT TIME ZONE 'UTC' AS DATE) AS d, current_timestamp = now() AS t, current_user IS NOT NULL AS u FROM nation"),
     "nested_values": ("SELECT n_nationkey, array(1, n_nationkey, 3)[1] AS a, array_join(slice(array(1, n_nationkey, 3), 2, 2), ',') AS s, named_struct('x', n_name, 'y', 2).x AS f, map('k', n_regionkey)['k'] AS m, size(array()) AS z FROM nation", "SELECT n_nationkey, [1, n_nationkey, 3][2] AS a, array_to_string([1, n_nationkey, 3][2:3], ',') AS s, {'x': n_name, 'y': 2}.x AS f, MAP {'k': n_regionkey}['k'] AS m, len([]) :: INTEGER AS z FROM nation"),
     "json_path": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, from_json(props, 'k INT').k AS j, try_variant_get(parse_json(props), '$.k', 'int') AS v FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract(props, '$.k') AS INTEGER) AS j, CAST(props::JSON ->> 'k' AS INTEGER) AS v FROM events"),

@@ -1,8 +1,8 @@
 """Operator 9. Near-duplicates by bottom-k sketches from one hash function.
 
 Texts with the same shingle set fall into one class at once. The sketch of a class keeps the ``SKETCH`` least shingle
-hashes. Two sets of at least the wanted similarity share far more than that similarity less ``SLACK`` of their sketch values, so that each
-class needs to stand only in the inverted lists of its rarest values, as many as exceed that share. Short lists give
+hashes. Two sets of at least the wanted similarity share far more than that similarity less ``SLACK`` of their sketch
+values, so that each class needs to stand only in the inverted lists of its rarest values, as many as exceed that share. Short lists give
 their pairs. A long list gives no pairs: its members ("crowded" classes) are indexed again by their full sets, where the
 rarest values up to the exact bound suffice, and in a list that is still long each member is paired with the member that
 has fewest shingles of its own; only members that don't turn out linked to it are then paired with others, as far as
@@ -95,7 +95,8 @@ def _rarest(lists: DataFrame, size: Column, share: float) -> DataFrame:
     ``lists`` has (c, n, value); a class needs the lists of all but floor(share * size) of its values. Values of one
     class only can't lead to a pair, so they are counted and left out.
     """
-    often = lists.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # written first: the join then shuffles both sides itself, and the rows of a common value can be split over tasks
+    often = cut(lists.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     shared = lists.join(often, "value").dropDuplicates(["c", "value"])
     each = W.partitionBy("c")
     own = size - F.count(F.lit(1)).over(each)
@@ -233,7 +234,8 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
     classes = members.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("least"))
     rooted = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = rooted.select("c", "root").join(least, "root").select("c", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"))
+    # written for the same reason: a class may have a third of all rows
+    named = cut(rooted.select("c", "root").join(least, "root").select("c", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")))
     out = members.join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("c").isNull() | (F.col("row") == F.col("first"))

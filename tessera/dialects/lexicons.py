@@ -22,6 +22,8 @@ class Lexicon(NamedTuple):
     triple: bool = False
     #: Strings between ``$tag$`` marks.
     dollar: bool = False
+    #: What names may hold besides letters, digits, "_" and "$".
+    letters: str = ""
     #: Parameters and variables.
     parameter: str = ""
     #: Words with which clauses begin that only this dialect's queries have: (first, second or "" for any).
@@ -43,9 +45,9 @@ LEXICONS: dict[str, Lexicon] = {
     "hive": Lexicon("ansi", ("'", '"'), ("`",), True, parameter=r"\$\{[\w:.]+\}"),
     "materialize": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=(("as", "of"), ("options", ""))),
     "mysql": Lexicon("ansi", ("'", '"'), ("`",), True, ("#",), parameter=r"@@?[\w.`]+|\?", clauses=(*LOCKING, ("lock", "in"), ("into", "outfile"), ("into", "dumpfile"), ("procedure", ""))),
-    "oracle": Lexicon("ansi", identifier=('"',), parameter=r":\w+|&&?\w+\.?", clauses=(("connect", "by"), ("start", "with"), ("model", ""), *LOCKING)),
+    "oracle": Lexicon("ansi", identifier=('"',), letters="#", parameter=r":\w+|&&?\w+\.?", clauses=(("connect", "by"), ("start", "with"), ("model", ""), *LOCKING)),
     "postgres": Lexicon("ansi", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=LOCKING),
-    "redshift": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=(("connect", "by"), ("start", "with"))),
+    "redshift": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+|#\w+", clauses=(("connect", "by"), ("start", "with"))),
     "snowflake": Lexicon("ansi", ("'",), ('"',), True, ("//", "#"), dollar=True, parameter=r"\$\w+|:\w+|\?", clauses=(("connect", "by"), ("start", "with"), ("at", "("), ("before", "("), ("match_recognize", "("))),
     "sparksql": Lexicon("hive", ("'", '"'), ("`",), True, prefixes="rRxX", parameter=r"\$\{[\w:.]+\}|:\w+|\?"),
     "sqlite": Lexicon("ansi", square=True, prefixes="xX", parameter=r"[@:$]\w+|\?\d*"),

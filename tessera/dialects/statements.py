@@ -32,7 +32,7 @@ merge = MERGE INTO? object alias? USING merge_source ON expr merge_match+ return
 merge_source = (<query> | object) alias?
 merge_match = WHEN NOT? MATCHED (BY (SOURCE | TARGET))? (AND expr)? THEN _merge_action
 _merge_action = merge_update | merge_delete | merge_insert | DO NOTHING
-merge_update = UPDATE SET (assignment % "," | "*")
+merge_update = UPDATE SET (assignment % "," | "*") where?
 merge_delete = DELETE where?
 merge_insert = INSERT (_names? values | "*" | ROW) where?
 
@@ -158,7 +158,13 @@ column_constraint += (MATERIALIZED | ALIAS | EPHEMERAL | DEFAULT) expr | CODEC <
 table_option += ENGINE "="? name <...>? | ORDER BY (<...> | expr) | PARTITION BY expr | PRIMARY KEY (<...> | expr) | SAMPLE BY expr | TTL (expr (DELETE where? | TO (VOLUME | DISK) string | RECOMPRESS CODEC <...> | GROUP BY exprs (SET assignment % ",")?)?) % "," | SETTINGS (name "=" value) % ","
 create_view = CREATE _or_replace? (LIVE | WINDOW)? VIEW _if_not_exists? object _on_cluster? _names? _on_cluster? (DEFINER "=" name | SQL SECURITY name)* AS query | CREATE MATERIALIZED VIEW _if_not_exists? object _on_cluster? (REFRESH (EVERY | AFTER) number word)? (TO object)? (<...>)? table_option* POPULATE? AS query
 create_user = CREATE USER _if_not_exists? (name | string) % "," ...
-create_database = CREATE DATABASE _if_not_exists? object _on_cluster? (ENGINE "=" name <...>?)? (COMMENT (string | name))?
+create_database = CREATE DATABASE _if_not_exists? object _on_cluster? (ENGINE "=" name <...>? (SETTINGS (name "=" value) % ",")?)? (COMMENT (string | name))?
+drop_user = DROP USER _if_exists? (name | string) % "," _on_cluster?
+drop_role = DROP ROLE _if_exists? name % "," _on_cluster?
+drop_view = DROP VIEW _if_exists? object % "," _on_cluster? SYNC?
+drop_function = DROP FUNCTION _if_exists? object _on_cluster?
+create_role = CREATE ROLE _if_not_exists? name % "," ...
+access += (GRANT | REVOKE) ..( TO | FROM ) (TO | FROM) grantee % "," ...
 create_dictionary = CREATE _or_replace? DICTIONARY _if_not_exists? object _on_cluster? <...> (PRIMARY KEY name % "," | (SOURCE | LIFETIME | LAYOUT | RANGE | SETTINGS) <...> | COMMENT string)*
 drop_dictionary = DROP DICTIONARY _if_exists? object SYNC?
 drop_table = DROP TEMPORARY? TABLE _if_exists? object % "," _on_cluster? (SYNC | NO DELAY)*
@@ -172,16 +178,20 @@ attach = (ATTACH | DETACH) (TABLE | DATABASE | VIEW | DICTIONARY) (_if_exists |
 kill = KILL (QUERY | MUTATION) where (SYNC | ASYNC | TEST)?
 show = SHOW ...
 alter_table = ALTER TABLE object _on_cluster? alter_action % ","
-alter_action += (DELETE where | UPDATE assignment % "," where) | (ADD | DROP | CLEAR | MATERIALIZE) (INDEX | PROJECTION | CONSTRAINT | COLUMN) ... | (DROP | DETACH | ATTACH | FREEZE | FETCH | MOVE | REPLACE) PARTITION ... | MODIFY (TTL expr | ORDER BY expr | SETTING (name "=" value) % "," | COLUMN? column_definition) | RESET SETTING name % ","
+alter_action += COMMENT COLUMN _if_exists? name string | MODIFY COLUMN _if_exists? name REMOVE word | MODIFY COLUMN? name MODIFY SETTING ... | MODIFY COMMENT string | (DELETE where | UPDATE assignment % "," where) | (ADD | DROP | CLEAR | MATERIALIZE) (INDEX | PROJECTION | CONSTRAINT | COLUMN) ... | (DROP | DETACH | ATTACH | FREEZE | FETCH | MOVE | REPLACE) PARTITION ... | MODIFY (TTL expr | ORDER BY expr | SETTING (name "=" value) % "," | COLUMN? column_definition) | RESET SETTING name % ","
 '''
 
 GRAMMARS["hive"] = r'''
-_statement += load_data | msck | show | export | import | reload | analyze | create_macro
+_statement += alter_database | hive_set | load_data | msck | show | export | import | reload | analyze | create_macro
 create_table = CREATE (TEMPORARY | TRANSACTIONAL | EXTERNAL | MANAGED)* TABLE _if_not_exists? object (LIKE object | <table_element %? ",">)? table_option* (AS query)?
 column_definition = name ":"? type column_constraint*
 table_option += PARTITIONED BY (<(column_definition | name) % ","> | SPEC <...>) | CLUSTERED BY _names (SORTED BY <...>)? INTO number BUCKETS | SKEWED BY _names ON <...> (STORED AS DIRECTORIES)?
   | ROW FORMAT (SERDE string (WITH SERDEPROPERTIES <...>)? | DELIMITED row_part*) | STORED (AS (INPUTFORMAT string OUTPUTFORMAT string | word) | BY string (WITH SERDEPROPERTIES <...>)?) | LOCATION string | TBLPROPERTIES <...>
 row_part = (FIELDS | COLLECTION ITEMS | MAP KEYS | LINES) TERMINATED BY string (ESCAPED BY string)? | NULL DEFINED AS string
+alter_database = ALTER (DATABASE | SCHEMA) object SET (DBPROPERTIES <...> | (LOCATION | MANAGEDLOCATION) string | OWNER (TO | USER | ROLE)? (name | string))
+hive_set = SET | SET "-" word
+truncate = TRUNCATE TABLE? object partition?
+_deferral += (ENABLE | DISABLE | VALIDATE | NOVALIDATE | RELY | NORELY)
 partition = PARTITION <(name ("=" value)?) % ",">
 insert = INSERT (OVERWRITE | INTO) TABLE? object partition? _if_not_exists? _names? _insert_source | INSERT OVERWRITE LOCAL? DIRECTORY string table_option* query
 load_data = LOAD DATA LOCAL? INPATH string OVERWRITE? INTO TABLE object partition?
@@ -194,13 +204,13 @@ analyze = ANALYZE TABLE object partition? COMPUTE STATISTICS (FOR COLUMNS (name
 create_macro = CREATE TEMPORARY MACRO name <...> expr | DROP TEMPORARY MACRO _if_exists? name
 create_database = CREATE (DATABASE | SCHEMA) _if_not_exists? object (COMMENT string | LOCATION string | MANAGEDLOCATION string | WITH DBPROPERTIES <...>)*
 alter_table = ALTER TABLE object partition? alter_action % ","
-alter_action += SET (TBLPROPERTIES <...> | SERDEPROPERTIES <...> | SERDE string | LOCATION string | FILEFORMAT word) | UNSET TBLPROPERTIES _if_exists? <...> | ADD _if_not_exists? (partition (LOCATION string)?)+ | DROP _if_exists? partition % "," PURGE? | RENAME TO partition | RECOVER PARTITIONS
+alter_action += EXCHANGE partition WITH TABLE object | SET (TBLPROPERTIES <...> | SERDEPROPERTIES <...> | SERDE string | LOCATION string | FILEFORMAT word) | UNSET TBLPROPERTIES _if_exists? <...> | ADD _if_not_exists? (partition (LOCATION string)?)+ | DROP _if_exists? partition % "," PURGE? | RENAME TO partition | RECOVER PARTITIONS
   | (ADD | REPLACE) COLUMNS <column_definition % ","> | (CLUSTERED | SORTED) BY <...> | CONCATENATE | COMPACT string
 create_function = CREATE TEMPORARY? FUNCTION object AS string (USING (((JAR | FILE | ARCHIVE) string) % ","))?
 '''
 
 GRAMMARS["sparksql"] = r'''
-_statement += create_widget | alter_database | cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
+_statement += create_widget | cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
 _table_kind += OR REFRESH | STREAMING | LIVE | STREAMING LIVE | OR REFRESH STREAMING | OR REFRESH STREAMING LIVE | OR REFRESH LIVE | TEMPORARY LIVE
 create_table = CREATE _or_replace? (OR REFRESH)? (TEMPORARY | EXTERNAL | STREAMING | LIVE)* TABLE _if_not_exists? object (LIKE object | <_spark_element %? ",">)? table_option* (AS? query)?
 _spark_element = table_element | expectation
@@ -211,7 +221,6 @@ alter_view = ALTER VIEW object (RENAME TO object | SET TBLPROPERTIES <...> | UNS
 insert = INSERT (OVERWRITE | INTO) TABLE? object partition? _if_not_exists? (_names | BY NAME)? _insert_source | INSERT OVERWRITE LOCAL? DIRECTORY string? table_option* query | INSERT INTO TABLE? object REPLACE WHERE expr _insert_source
 _insert_source += TABLE object | FROM ...
 create_widget = CREATE WIDGET word name DEFAULT string (CHOICES query)? | REMOVE WIDGET name
-alter_database = ALTER (DATABASE | SCHEMA) object SET (DBPROPERTIES <...> | LOCATION string | OWNER TO name)
 analyze += ANALYZE TABLES (IN object)? COMPUTE STATISTICS NOSCAN?
 alter_action += (ALTER | CHANGE) COLUMN? name (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
 cache = CACHE LAZY? TABLE object (OPTIONS <...>)? (AS? query)?
@@ -344,7 +353,12 @@ GRAMMARS["exasol"] = r'''
 _statement += create_script | execute_script | create_connection | create_virtual_schema | flush | import | export | open_schema | recompress | kill | create_consumer_group | impersonate | alter_many | drop_many | preload | rename
 create_table = CREATE _or_replace? TABLE _if_not_exists? object (LIKE object ((INCLUDING | EXCLUDING) word)* | <(table_element | DISTRIBUTE BY name % "," | PARTITION BY name % ",") % ","> | AS query (WITH NO? DATA)?) table_option*
 table_option += COMMENT IS string
-column_constraint += IDENTITY number?
+column_constraint += IDENTITY number? | COMMENT IS string | DISABLE | ENABLE
+table_element += LIKE object ((INCLUDING | EXCLUDING) word)*
+access += GRANT word+ TO grantee % "," (WITH ADMIN OPTION)? | REVOKE word+ FROM grantee % "," | (GRANT | REVOKE) (IMPERSONATION | ALL | CONNECTION) ...
+comment_on += COMMENT ON TABLE? object (IS string)? <...>? | COMMENT ON word+ object IS string
+explain += EXPLAIN VIRTUAL query
+update = UPDATE object alias? SET assignment % "," (FROM ..( WHERE | PREFERRING ))? (FROM ...)? where? (PREFERRING ...)?
 create_view = CREATE _or_replace? FORCE? VIEW object (<(name (COMMENT IS string)?) % ",">)? AS query (COMMENT IS string)?
 create_script = CREATE _or_replace? (PYTHON | PYTHON3 | LUA | JAVA | R)? (SCALAR | SET | ADAPTER)? SCRIPT object ...
 execute_script = EXECUTE SCRIPT object (<...>)? (WITH OUTPUT)?
@@ -358,14 +372,15 @@ recompress = (RECOMPRESS | REORGANIZE) (TABLE | TABLES | SCHEMA | DATABASE) ...
 kill = KILL (SESSION | STATEMENT) ...
 create_consumer_group = CREATE CONSUMER GROUP name WITH (name "=" value) % "," | ALTER CONSUMER GROUP name SET (name "=" value) % ","
 impersonate = IMPERSONATE name
-preload = PRELOAD (TABLE | TABLES | SCHEMA | DATABASE) ...
+preload = PRELOAD (TABLE | TABLES | SCHEMA | SCHEMAS | DATABASE) ...
 rename = RENAME (SCHEMA | TABLE | VIEW | FUNCTION | SCRIPT | USER | ROLE | CONNECTION)? object TO object
 alter_many = ALTER (USER | ROLE | SCHEMA | SESSION | SYSTEM | TABLE) any ...
 drop_many = DROP (SCRIPT | CONNECTION | CONSUMER GROUP | ADAPTER SCRIPT) _if_exists? object
-create_user = CREATE USER name IDENTIFIED (BY (name | string) | AT LDAP AS string ... | BY KERBEROS PRINCIPAL string)
+create_user = CREATE USER name IDENTIFIED (BY (name | string) | AT LDAP AS string ... | BY KERBEROS PRINCIPAL string | BY OPENID SUBJECT string)
 merge = MERGE INTO object alias? USING merge_source ON expr merge_match+
 create_function = CREATE _or_replace? FUNCTION object <...> RETURN type (IS | AS)? ...
-delete = DELETE "*"? FROM object alias? where? (PREFERRING ...)?
+_exasol_word = PREFERRING | WHERE
+delete = DELETE "*"? FROM object !PREFERRING alias? where? (PREFERRING ...)? | DELETE "*"? FROM object PREFERRING ...
 '''
 
 GRAMMARS["greenplum"] = r'''
@@ -462,8 +477,9 @@ GRAMMARS["oracle"] = r'''
 _statement += create_package | create_procedure | _block | create_synonym | create_type | alter_many | drop_many | prompt | execute | comment_on | purge | flashback | rename | create_other | lock
 column_constraint += ENABLE | DISABLE | USING INDEX ... | VISIBLE | INVISIBLE | SORT | ENCRYPT | DEFAULT ON NULL value
 table_option += TABLESPACE name | (PCTFREE | PCTUSED | INITRANS | MAXTRANS) number | STORAGE <...> | (NO)? LOGGING | LOGGING | NOLOGGING | COMPRESS ... | NOCOMPRESS | PARALLEL number? | NOPARALLEL | CACHE | NOCACHE | ORGANIZATION (HEAP | INDEX | EXTERNAL <...>) | PARTITION BY (RANGE | LIST | HASH | REFERENCE | SYSTEM) <...>? (INTERVAL <...>)? (<...> | PARTITIONS number)? | SEGMENT CREATION (IMMEDIATE | DEFERRED) | (ENABLE | DISABLE) ROW MOVEMENT | LOB <...> STORE AS ...
+table_option += ON COMMIT (DROP | PRESERVE) DEFINITION
 _table_kind += GLOBAL TEMPORARY | PRIVATE TEMPORARY | SHARDED | IMMUTABLE | BLOCKCHAIN
-create_view = CREATE _or_replace? (NO? FORCE)? ((NON)? EDITIONABLE | EDITIONING | NONEDITIONABLE)? VIEW _if_not_exists? object <...>? (BEQUEATH ...)? AS query (WITH (READ ONLY | CHECK OPTION) (CONSTRAINT name)?)? | CREATE MATERIALIZED VIEW object (..( AS ))? AS query
+create_view = CREATE _or_replace? (NO? FORCE)? (EDITIONABLE | EDITIONING | NONEDITIONABLE)* VIEW _if_not_exists? object <...>? (BEQUEATH ...)? AS query (WITH (READ ONLY | CHECK OPTION) (CONSTRAINT name)?)? | CREATE MATERIALIZED VIEW object (..( AS ))? AS query
 create_index = CREATE (UNIQUE | BITMAP)? INDEX _if_not_exists? object ON (object alias? <...> | CLUSTER object) ...
 create_function = CREATE _or_replace? (EDITIONABLE | NONEDITIONABLE)? FUNCTION object <...>? RETURN type ..( IS | AS ) (IS | AS) ...
 create_procedure = CREATE _or_replace? (EDITIONABLE | NONEDITIONABLE)? PROCEDURE object <...>? (AUTHID (CURRENT_USER | DEFINER))? (IS | AS) ...
@@ -489,15 +505,22 @@ create_user = CREATE USER name IDENTIFIED (BY (name | string) | EXTERNALLY | GLO
 '''
 
 GRAMMARS["redshift"] = r'''
-_statement += unload | create_external | create_library | create_datashare | create_group | append | cancel | close
+_statement += rls | analyse | abort | unload | create_external | create_library | create_datashare | create_group | append | cancel | close
 table_option += (DISTSTYLE (AUTO | EVEN | KEY | ALL) | DISTKEY <name> | (COMPOUND | INTERLEAVED)? SORTKEY (<...> | AUTO) | SORTKEY AUTO | BACKUP (YES | NO) | ENCODE AUTO)
-column_constraint += ENCODE word | DISTKEY | SORTKEY | IDENTITY <...> | GENERATED BY DEFAULT AS IDENTITY <...> | COLLATE (CASE_SENSITIVE | CASE_INSENSITIVE)
+column_constraint += ENCODE word | DISTKEY | SORTKEY | IDENTITY <...>? | GENERATED BY DEFAULT AS IDENTITY <...> | COLLATE (CASE_SENSITIVE | CASE_INSENSITIVE)
 create_table = CREATE _table_kind? TABLE _if_not_exists? object (<table_element %? ","> | _names)? table_option* (AS? (query | <query>))?
 create_view = CREATE _or_replace? VIEW object _names? AS query (WITH NO SCHEMA BINDING)?
 create_materialized_view = CREATE MATERIALIZED VIEW object (BACKUP (YES | NO))? table_option* (AUTO REFRESH (YES | NO))? AS query
 copy = COPY object _names? FROM (string | object) ...
+rls = (CREATE | ATTACH | DETACH | DROP | ALTER) (RLS | MASKING) POLICY any ...
+analyse = ANALYSE ...
+abort = ABORT (WORK | TRANSACTION)?
+access += (GRANT | REVOKE) ..( TO | FROM ) (TO | FROM) ...
+create_schema += CREATE SCHEMA _if_not_exists? name (AUTHORIZATION name)? QUOTA ...
+create_model = CREATE MODEL object FROM any ...
+transaction += BEGIN (WORK | TRANSACTION) ISOLATION LEVEL word (READ (ONLY | WRITE))?
 unload = UNLOAD <string | query> TO string ...
-create_external = CREATE EXTERNAL (TABLE object <...> ... | SCHEMA _if_not_exists? name FROM ... | FUNCTION object ...)
+create_external = CREATE _or_replace? EXTERNAL (TABLE object ... | SCHEMA _if_not_exists? name FROM ... | FUNCTION object ...)
 create_library = CREATE _or_replace? LIBRARY name LANGUAGE name FROM string ... | DROP LIBRARY name
 create_datashare = (CREATE | ALTER | DROP | DESC) DATASHARE name ...
 create_group = (CREATE | ALTER | DROP) GROUP name ...
@@ -593,7 +616,7 @@ backup = (BACKUP | RESTORE) SNAPSHOT ... | CANCEL ...
 '''
 
 GRAMMARS["teradata"] = r'''
-_statement += collect_statistics | bteq | locking | create_macro | help | show | replace_view | rename | database
+_statement += session_statement | collect_statistics | bteq | locking | create_macro | help | show | replace_view | rename | database
 _teradata_kind = (MULTISET | SET)? (GLOBAL TEMPORARY | VOLATILE)? (TRACE)?
 create_table = CREATE _teradata_kind TABLE object ("," table_word)* (<table_element %? ","> | AS (<query> | object) WITH NO? DATA (AND NO? (STATISTICS | STATS))?) table_option*
 table_word = NO? (FALLBACK | BEFORE JOURNAL | AFTER JOURNAL | LOG) (PROTECTION)? | CHECKSUM "=" word | DEFAULT MERGEBLOCKRATIO | MAP "=" name | FREESPACE "=" number
@@ -601,7 +624,8 @@ table_option += ","? (UNIQUE? PRIMARY INDEX name? <...> | NO PRIMARY INDEX | PAR
 column_constraint += (NOT)? CASESPECIFIC | CHARACTER SET word | FORMAT string | TITLE string | COMPRESS (<...> | value)? | UPPERCASE | INLINE LENGTH number | NAMED name
 replace_view = REPLACE (VIEW | RECURSIVE VIEW | MACRO | PROCEDURE | FUNCTION) object any ...
 create_macro = CREATE MACRO object <...>? AS <...>
-collect_statistics = COLLECT (STATISTICS | STATS | SUMMARY (STATISTICS | STATS)) ... | DROP (STATISTICS | STATS) ...
+session_statement = (SS | SET SESSION) ...
+collect_statistics = COLLECT (STATISTICS | STATS | STAT | SUMMARY (STATISTICS | STATS)) ... | DROP (STATISTICS | STATS) ...
 bteq = "." word ...
 locking = LOCKING (TABLE | ROW | VIEW | DATABASE)? object? (FOR | IN) word MODE? NOWAIT? (query | _statement | ...)
 help = HELP ...
@@ -611,7 +635,7 @@ database = DATABASE object
 insert += (INSERT | INS) INTO? object _names? _insert_source | (INSERT | INS) INTO? object <expr % ",">
 update += (UPDATE | UPD) object (FROM ..( SET ))? SET assignment % "," (ALL | where)? (ELSE INSERT ...)?
 delete = (DELETE | DEL) FROM? object alias? (ALL | where)?
-set_statement += SET QUERY_BAND "=" (string | NONE) UPDATE? FOR (SESSION | TRANSACTION) | SET SESSION ... | SET ROLE ... | SET TIME ZONE ...
+set_statement += SET QUERY_BAND "=" (string | NONE) UPDATE? FOR (SESSION | TRANSACTION) VOLATILE? | SET SESSION ... | SET ROLE ... | SET TIME ZONE ...
 transaction += (BT | ET | BEGIN TRANSACTION | END TRANSACTION | ABORT)
 '''
 

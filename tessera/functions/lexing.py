@@ -42,8 +42,8 @@ def pattern(dialect: str) -> re.Pattern:
         rf"(?P<newline>\n)|(?P<whitespace>[^\S\n]+)|(?P<comment>{comment})|(?P<templated>\{{\{{.*?\}}\}}|\{{%.*?%\}}|\{{#.*?#\}})"
         rf"|(?P<dollar_literal>\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)|(?P<quoted_literal>{'|'.join(literals)})|(?P<quoted_identifier>{'|'.join(identifiers)})"
         rf"|(?P<cast>::)|(?P<parameter>{parameter})"
-        r"|(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.]))|(?P<word>[^\W\d][\w]*(?:\$\w*)*|\d+\w+)|(?P<comparison><=>|<>|!=|>=|<=|=|<|>)"
-        r"|(?P<operator>\|\||[-+*/%&|^~!?@:$#])|(?P<comma>,)|(?P<dot>\.)|(?P<semicolon>;)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<unlexable>.)",
+        + r"|(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.]))|(?P<word>[^\W\d][\w$%s]*|\d+\w+)|(?P<comparison><=>|<>|!=|>=|<=|=|<|>)" % x.letters
+        + r"|(?P<operator>\|\||[-+*/%&|^~!?@:$#])|(?P<comma>,)|(?P<dot>\.)|(?P<semicolon>;)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<unlexable>.)",
         re.S,
     )
 

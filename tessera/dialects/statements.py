@@ -42,7 +42,7 @@ _transaction_more = TO SAVEPOINT? name | AND NO? CHAIN | (ISOLATION LEVEL word w
 
 create_table = CREATE _or_replace? _table_kind? TABLE _if_not_exists? object _table_body table_option*
 _table_kind = TEMPORARY | TEMP | (GLOBAL | LOCAL) (TEMPORARY | TEMP) | EXTERNAL | TRANSIENT | UNLOGGED | VOLATILE
-_table_body = <table_element %? ","> (AS? query)? | LIKE object | table_option* AS (query | values) | <query> | _names table_option* AS query
+_table_body = <table_element %? ","> (AS? query)? | AS TABLE object | LIKE object | table_option* AS (query | values) | <query> | _names table_option* AS query
 table_element = table_constraint | column_definition | LIKE object ((INCLUDING | EXCLUDING) word)*
 column_definition = name type column_constraint*
 column_constraint = (CONSTRAINT name)? _column_constraint
@@ -104,7 +104,7 @@ trigger_event = INSERT | DELETE | TRUNCATE | UPDATE (OF name % ",")?
 trigger_body = EXECUTE (FUNCTION | PROCEDURE) object <...> | BEGIN ... | _statement
 drop_trigger = DROP TRIGGER _if_exists? object (ON object)? _cascade?
 set_statement = SET (SESSION | LOCAL | GLOBAL)? (object | word) ("=" | TO) (value | ON | OFF) ("," value)*
-comment_on = COMMENT (IF EXISTS)? ON (TABLE | COLUMN | VIEW | WAREHOUSE | USER | ROLE | SCRIPT | EXTENSION | TRIGGER | AGGREGATE | DOMAIN | PROCEDURE | POLICY | RULE | SERVER | STAGE | CATALOG | VOLUME | SCHEMA | DATABASE | FUNCTION | INDEX | CONSTRAINT | TYPE | SEQUENCE | MATERIALIZED VIEW) object (ON object)? IS (string | NULL)
+comment_on = COMMENT (IF EXISTS)? ON (TABLE | COLUMN | VIEW | WAREHOUSE | USER | ROLE | SCRIPT | EXTENSION | TRIGGER | AGGREGATE | DOMAIN | PROCEDURE | POLICY | RULE | SERVER | STAGE | CATALOG | VOLUME | SCHEMA | DATABASE | FUNCTION | INDEX | CONSTRAINT | TYPE | SEQUENCE | MATERIALIZED VIEW) object (ON object)? IS (string | NULL) | COMMENT (IF EXISTS)? ON word ..( IS ) IS (string | NULL)
 call = CALL object <...>
 '''
 
@@ -113,7 +113,7 @@ _statement += show | msck | unload | prepare | execute
 create_table = CREATE EXTERNAL? TABLE _if_not_exists? object (<column_definition %? ",">)? table_option* (AS query)?
 table_option += PARTITIONED BY <(column_definition | expr) % ","> | CLUSTERED BY _names INTO number BUCKETS | ROW FORMAT (SERDE string (WITH SERDEPROPERTIES <...>)? | DELIMITED (..( STORED | LOCATION | TBLPROPERTIES ) | ...))
   | STORED AS (INPUTFORMAT string OUTPUTFORMAT string | word) | LOCATION string | TBLPROPERTIES <...> | WITH <...>
-show = SHOW (CREATE (TABLE | VIEW) object | (COLUMNS | PARTITIONS | TBLPROPERTIES) (FROM | IN)? object <...>? | (TABLES | VIEWS | DATABASES | SCHEMAS) (IN object)? string?)
+show = SHOW (CREATE | COLUMNS | PARTITIONS | TBLPROPERTIES | TABLES | VIEWS | DATABASES | SCHEMAS) ...
 msck = MSCK REPAIR TABLE object
 unload = UNLOAD <query> TO string WITH <...>
 prepare = PREPARE name FROM (query | _statement)
@@ -210,7 +210,7 @@ create_function = CREATE TEMPORARY? FUNCTION object AS string (USING (((JAR | FI
 '''
 
 GRAMMARS["sparksql"] = r'''
-_statement += create_widget | cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
+_statement += replace_table | _constraint | create_widget | cache | uncache | refresh | clear_cache | add_resource | reset | declare | _delta | alter_view | list_resource
 _table_kind += OR REFRESH | STREAMING | LIVE | STREAMING LIVE | OR REFRESH STREAMING | OR REFRESH STREAMING LIVE | OR REFRESH LIVE | TEMPORARY LIVE
 create_table = CREATE _or_replace? (OR REFRESH)? (TEMPORARY | EXTERNAL | STREAMING | LIVE)* TABLE _if_not_exists? object (LIKE object | <_spark_element %? ",">)? table_option* (AS? query)?
 _spark_element = table_element | expectation
@@ -220,9 +220,12 @@ create_view = CREATE _or_replace? (OR REFRESH)? (GLOBAL? (TEMPORARY | TEMP))? (S
 alter_view = ALTER VIEW object (RENAME TO object | SET TBLPROPERTIES <...> | UNSET TBLPROPERTIES _if_exists? <...> | AS query)
 insert = INSERT (OVERWRITE | INTO) TABLE? object partition? _if_not_exists? (_names | BY NAME)? _insert_source | INSERT OVERWRITE LOCAL? DIRECTORY string? table_option* query | INSERT INTO TABLE? object REPLACE WHERE expr _insert_source
 _insert_source += TABLE object | FROM ...
+replace_table = REPLACE TABLE object ...
+drop_function = DROP TEMPORARY? FUNCTION _if_exists? object
+_constraint = expectation
 create_widget = CREATE WIDGET word name DEFAULT string (CHOICES query)? | REMOVE WIDGET name
 analyze += ANALYZE TABLES (IN object)? COMPUTE STATISTICS NOSCAN?
-alter_action += (ALTER | CHANGE) COLUMN? name (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
+alter_action += SET SERDE string (WITH SERDEPROPERTIES <...>)? | CHANGE COLUMN? name column_definition _position? | ADD (COLUMN | COLUMNS) object type column_constraint* _position? | (ADD | DROP | REPLACE) PARTITION FIELD ... | WRITE ... | (ALTER | CHANGE) COLUMN? object (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
 cache = CACHE LAZY? TABLE object (OPTIONS <...>)? (AS? query)?
 uncache = UNCACHE TABLE _if_exists? object
 refresh = REFRESH (TABLE | FUNCTION | MATERIALIZED VIEW | STREAMING TABLE)? (object | string)
@@ -231,9 +234,9 @@ add_resource = ADD (JAR | JARS | FILE | FILES | ARCHIVE | ARCHIVES) ...
 list_resource = LIST (JAR | JARS | FILE | FILES | ARCHIVE | ARCHIVES) ...
 reset = RESET (..( ";" ) | ...)
 declare = DECLARE _or_replace? VARIABLE? name type? ((DEFAULT | "=") expr)?
-set_statement += SET (VARIABLE | VAR)? (object | _names) "=" expr | SET | SET "-" word | SET TIME ZONE (LOCAL | string | expr)
+set_statement += SET object | SET TIME ZONE ... | SET (VARIABLE | VAR)? (object | _names) "=" expr | SET | SET "-" word | SET TIME ZONE (LOCAL | string | expr)
 _delta = VACUUM (object | string) (RETAIN number HOURS)? (DRY RUN)? | OPTIMIZE (object | string) where? (ZORDER BY <name % ",">)? | RESTORE TABLE? object TO? (VERSION | TIMESTAMP) AS OF value
-  | GENERATE name FOR TABLE object | CONVERT TO DELTA object (NO STATISTICS)? (PARTITIONED BY <...>)? (NO STATISTICS)? | apply_changes
+  | GENERATE name FOR TABLE (object | string) | CONVERT TO DELTA object (NO STATISTICS)? (PARTITIONED BY <...>)? (NO STATISTICS)? | apply_changes
 apply_changes = APPLY CHANGES INTO object FROM (STREAM <object> | object) KEYS <object % ","> apply_part+
 apply_part = IGNORE NULL UPDATES | where | APPLY AS (DELETE | TRUNCATE) WHEN expr | SEQUENCE BY expr | COLUMNS (<...> | "*" EXCEPT <...>) | STORED AS SCD TYPE number | TRACK HISTORY ON ("*" EXCEPT)? <...>
 create_function = CREATE _or_replace? TEMPORARY? FUNCTION _if_not_exists? object (AS string (USING ((JAR | FILE | ARCHIVE) string) % ",")? | <(name type (DEFAULT value)? (COMMENT string)?) % ","> function_part* | <> function_part*)
@@ -242,12 +245,14 @@ describe = (DESCRIBE | DESC) (EXTENDED | FORMATTED | TABLE | DATABASE | SCHEMA |
 '''
 
 GRAMMARS["databricks"] = r'''
-_statement += create_catalog | create_volume | copy_into | comment_on | set_tags | create_flow | _drops | show
+_statement += alter_catalog | create_catalog | create_volume | copy_into | comment_on | set_tags | create_flow | _drops | show
+alter_catalog = ALTER CATALOG name (SET? OWNER TO any | ...)
+access += GRANT !ON ..( TO ) TO grantee % "," ... | REVOKE !ON ..( FROM ) FROM grantee % "," ...
 create_catalog = CREATE CATALOG _if_not_exists? name (USING SHARE object | MANAGED LOCATION string | COMMENT string)*
 create_volume = CREATE EXTERNAL? VOLUME _if_not_exists? object (LOCATION string | COMMENT string)*
 _drops = DROP (CATALOG | VOLUME | CONNECTION | SHARE | RECIPIENT | STREAMING TABLE) _if_exists? object _cascade?
-copy_into = COPY INTO object FROM (string | <query>) (FILEFORMAT "=" name | VALIDATE ... | (FILES | PATTERN) "=" value | (FORMAT_OPTIONS | COPY_OPTIONS) <...>)*
-use = USE (CATALOG | SCHEMA | DATABASE)? object
+copy_into = COPY INTO object <...>? FROM (string | <query>) (FILEFORMAT "=" name | VALIDATE ... | (FILES | PATTERN) "=" value | (FORMAT_OPTIONS | COPY_OPTIONS) <...>)*
+use = USE (CATALOG | SCHEMA | DATABASE)? (object | string)
 set_tags = (SET | UNSET) TAG ON (CATALOG | SCHEMA | TABLE | VOLUME | COLUMN) object name ("=" value)?
 create_flow = CREATE FLOW name AS (INSERT INTO object BY NAME query | apply_changes)
 alter_action += SET TAGS <...> | UNSET TAGS <...> | CLUSTER BY (_names | NONE | AUTO) | ALTER COLUMN name (SET MASK object (USING COLUMNS <...>)? | DROP MASK | COMMENT string | SYNC IDENTITY) | SET ROW FILTER object ON _names | DROP ROW FILTER | ADD COLUMN <column_definition % ",">
@@ -264,6 +269,7 @@ column_constraint += FOR BIT DATA | INLINE LENGTH number | WITH DEFAULT value? |
 GRAMMARS["postgres"] = r'''
 _statement += load | copy | create_type | create_extension | create_policy | create_domain | do | listen | vacuum | analyze | reindex | cluster | lock | prepare | execute | create_materialized_view | refresh
   | create_publication | create_procedure | alter_many | drop_many | show | discard | reset | create_aggregate | create_operator | create_server | create_statistics | import_schema | declare_cursor | fetch | create_rule | checkpoint | deallocate | security_label | set_transaction | reassign | create_tablespace
+access += GRANT !ON ..( TO ) TO grantee % "," ... | REVOKE !ON ..( FROM ) FROM grantee % "," ...
 _conflict = ON CONFLICT (ON CONSTRAINT name | <...> where?)? DO (NOTHING | UPDATE SET assignment % "," where?)
 insert = INSERT INTO object alias? _names? (OVERRIDING (SYSTEM | USER) VALUE)? _insert_source _conflict? returning?
 create_table = CREATE _table_kind? TABLE _if_not_exists? object (PARTITION OF object (<...>)? _partition_bound | OF object (<...>)? | _table_body | <>) table_option*
@@ -277,9 +283,9 @@ create_materialized_view = CREATE _or_replace? MATERIALIZED VIEW _if_not_exists?
 create_view = CREATE _or_replace? (TEMP | TEMPORARY)? RECURSIVE? VIEW object _names? (WITH <...>)? AS (query | values) (WITH (CASCADED | LOCAL)? CHECK OPTION)?
 refresh = REFRESH MATERIALIZED VIEW CONCURRENTLY? object (WITH NO? DATA)?
 copy = COPY BINARY? (object _names? | <query | _statement>) (FROM | TO) (PROGRAM? string | STDIN | STDOUT) WITH? (<...> | ...) where?
-create_type = CREATE TYPE object (AS (ENUM <...> | RANGE <...> | <(name type (COLLATE object)?) % ","> | <>) | <...>)?
+create_type = CREATE TYPE object (AS (ENUM <...> | RANGE <...> | <...> | <(name type (COLLATE object)?) % ","> | <>) | <...>)?
 create_domain = CREATE DOMAIN object AS? type ((CONSTRAINT name)? (NOT NULL | NULL | CHECK <expr>) | DEFAULT value | COLLATE object)*
-create_extension = CREATE EXTENSION _if_not_exists? name WITH? (SCHEMA name | VERSION (string | name) | FROM string | CASCADE)*
+create_extension = CREATE EXTENSION _if_not_exists? name WITH? (SCHEMA name | VERSION (string | name) | FROM (string | name) | CASCADE)*
 create_policy = (CREATE | ALTER) POLICY name ON object (RENAME TO name | AS (PERMISSIVE | RESTRICTIVE) | FOR (ALL | SELECT | INSERT | UPDATE | DELETE) | TO grantee % "," | USING <expr> | WITH CHECK <expr>)*
 create_procedure = CREATE _or_replace? PROCEDURE object <...> function_part+
 create_function = CREATE _or_replace? FUNCTION object <...> (RETURNS (TABLE <...> | SETOF? type | TRIGGER))? function_part+
@@ -294,17 +300,17 @@ create_publication = CREATE (PUBLICATION | SUBSCRIPTION) name ...
 create_rule = CREATE _or_replace? RULE name AS ON (SELECT | INSERT | UPDATE | DELETE) TO object where? DO (ALSO | INSTEAD)? (NOTHING | <...> | query | _statement)
 create_tablespace = CREATE TABLESPACE name (OWNER name)? LOCATION string (WITH <...>)?
 import_schema = IMPORT FOREIGN SCHEMA name ((LIMIT TO | EXCEPT) <...>)? FROM SERVER name INTO name (OPTIONS <...>)?
-create_schema = CREATE SCHEMA (_if_not_exists? object (AUTHORIZATION name)? | AUTHORIZATION name) _statement*
+create_schema = CREATE SCHEMA (_if_not_exists? AUTHORIZATION name | _if_not_exists? object (AUTHORIZATION name)?) _statement*
 create_database = CREATE DATABASE object WITH? (CONNECTION LIMIT "="? value | word "="? value)*
 create_user = CREATE (USER | GROUP) _if_not_exists? name WITH? role_option*
 create_role = CREATE ROLE _if_not_exists? name WITH? role_option*
 role_option = ENCRYPTED? PASSWORD (string | NULL) | VALID UNTIL string | CONNECTION LIMIT value | (IN (ROLE | GROUP) | ROLE | ADMIN | USER) name % "," | !ALTER name
 do = DO (LANGUAGE name)? string (LANGUAGE name)?
 listen = (LISTEN | UNLISTEN | NOTIFY) (name | "*") ("," string)?
-vacuum = VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE | ANALYSE)*) (object _names?) % "," | VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE)*)
+vacuum = VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE | ANALYSE)*) (object _names?) % "," | VACUUM (<...> | (FULL | FREEZE | VERBOSE | ANALYZE | ANALYSE)*)
 analyze = (ANALYZE | ANALYSE) (<...>)? VERBOSE? ((object _names?) % ",")?
 reindex = REINDEX (<...>)? (INDEX | TABLE | SCHEMA | DATABASE | SYSTEM) CONCURRENTLY? object
-cluster = CLUSTER VERBOSE? (object (USING name)?)?
+cluster = CLUSTER VERBOSE? (object (USING name | ON object)?)?
 lock = LOCK TABLE? ONLY? object % "," (IN ..( MODE ) MODE)? NOWAIT?
 prepare = PREPARE name (<...>)? AS (query | _statement)
 execute = EXECUTE name (<...>)?
@@ -355,7 +361,7 @@ create_table = CREATE _or_replace? TABLE _if_not_exists? object (LIKE object ((I
 table_option += COMMENT IS string
 column_constraint += IDENTITY number? | COMMENT IS string | DISABLE | ENABLE
 table_element += LIKE object ((INCLUDING | EXCLUDING) word)*
-access += GRANT word+ TO grantee % "," (WITH ADMIN OPTION)? | REVOKE word+ FROM grantee % "," | (GRANT | REVOKE) (IMPERSONATION | ALL | CONNECTION) ...
+access += GRANT !ON ..( TO ) TO grantee % "," ... | REVOKE !ON ..( FROM ) FROM grantee % "," ...
 comment_on += COMMENT ON TABLE? object (IS string)? <...>? | COMMENT ON word+ object IS string
 explain += EXPLAIN VIRTUAL query
 update = UPDATE object alias? SET assignment % "," (FROM ..( WHERE | PREFERRING ))? (FROM ...)? where? (PREFERRING ...)?
@@ -404,6 +410,9 @@ validate_connection = VALIDATE CONNECTION object
 alter_more = ALTER (CLUSTER | CONNECTION | SECRET | SINK | SOURCE | SYSTEM | INDEX) any ...
 drop_more = DROP (CLUSTER REPLICA? | CONNECTION | SECRET | SINK | SOURCE) _if_exists? object % "," _cascade?
 show_more = SHOW ...
+explain += EXPLAIN ...
+drop_role = DROP ROLE _if_exists? name % "," _cascade?
+declare_cursor += DECLARE name CURSOR FOR subscribe
 '''
 
 GRAMMARS["mysql"] = r'''
@@ -538,6 +547,9 @@ use += USE object
 GRAMMARS["snowflake"] = r'''
 _statement += copy_into | create_stage | create_file_format | create_stream | create_task | create_pipe | create_warehouse | create_procedure | create_other | alter_many | drop_many | show | _files | unset | undrop | execute | _scripting | create_stage | create_tag
 _copy = COPY GRANTS
+access += GRANT !ON ..( TO ) TO grantee % "," ... | REVOKE !ON ..( FROM ) FROM grantee % "," ...
+transaction += START TRANSACTION NAME name
+alter_sequence += ALTER SEQUENCE _if_exists? object UNSET COMMENT
 _table_kind += TRANSIENT | HYBRID | DYNAMIC | ICEBERG | EVENT
 create_role = CREATE _or_replace? ROLE _if_not_exists? name table_option*
 truncate = TRUNCATE TABLE? _if_exists? object
@@ -566,8 +578,8 @@ stage_or_table = "@" ..( FROM | FILE_FORMAT | FILES | PATTERN | "(" | ")" ) | "@
 insert = INSERT OVERWRITE? INTO object _names? _insert_source | INSERT OVERWRITE? (ALL | FIRST) ...
 merge_match = WHEN NOT? MATCHED (AND expr)? THEN _merge_action
 alter_many = ALTER (WAREHOUSE | SESSION | USER | ROLE | ACCOUNT | DATABASE | SCHEMA | VIEW | STAGE | STREAM | TASK | PIPE | FUNCTION | PROCEDURE | FILE FORMAT | MATERIALIZED VIEW | EXTERNAL TABLE | DYNAMIC TABLE | SHARE | MASKING POLICY | TAG | NETWORK POLICY | (API | NOTIFICATION | SECURITY | STORAGE)? INTEGRATION | RESOURCE MONITOR | ALERT | ICEBERG TABLE | ROW ACCESS POLICY) any ...
-alter_action += SWAP WITH object | RECLUSTER ... | (MODIFY | ALTER)? COLUMN? name (DROP DEFAULT | SET DEFAULT expr | (SET | DROP) NOT NULL | SET DATA TYPE type) | DROP CONSTRAINT name ... | CLUSTER BY <...> | DROP CLUSTERING KEY | (SUSPEND | RESUME) RECLUSTER | SET (TAG ... | table_option+) | UNSET ... | (ADD | DROP) (ROW ACCESS POLICY ... | SEARCH OPTIMIZATION ...) | (ALTER | MODIFY) COLUMN? <...> | (ALTER | MODIFY) COLUMN? name ((SET | UNSET) MASKING POLICY ... | COMMENT string | SET DATA TYPE type | TYPE? type) | ADD COLUMN? _if_not_exists? column_definition ("," column_definition)*
-drop_many = DROP (WAREHOUSE | STAGE | STREAM | TASK | PIPE | FILE FORMAT | PROCEDURE | MATERIALIZED VIEW | EXTERNAL TABLE | DYNAMIC TABLE | SHARE | TAG | (MASKING | NETWORK | SESSION | PASSWORD | ROW ACCESS) POLICY | INTEGRATION | RESOURCE MONITOR | CONNECTION | ALERT | ICEBERG TABLE | STREAMLIT) _if_exists? object (<...>)? _cascade?
+alter_action += SWAP WITH object | RECLUSTER ... | (MODIFY | ALTER)? COLUMN? name (DROP DEFAULT | SET DEFAULT expr | (SET | DROP) NOT NULL | SET DATA TYPE type) | DROP CONSTRAINT name ... | CLUSTER BY <...> | DROP CLUSTERING KEY | (SUSPEND | RESUME) RECLUSTER | SET (TAG ... | table_option+) | UNSET ... | (ADD | DROP) (ROW ACCESS POLICY ... | SEARCH OPTIMIZATION ...) | (ALTER | MODIFY) COLUMN? <...> | (ALTER | MODIFY) COLUMN? name ((SET | UNSET) (MASKING POLICY | TAG) ... | COMMENT string | SET DATA TYPE type | TYPE? type) | ADD COLUMN? _if_not_exists? column_definition ("," column_definition)*
+drop_many = DROP ((API | NOTIFICATION | SECURITY | STORAGE) INTEGRATION | MANAGED ACCOUNT | WAREHOUSE | STAGE | STREAM | TASK | PIPE | FILE FORMAT | PROCEDURE | MATERIALIZED VIEW | EXTERNAL TABLE | DYNAMIC TABLE | SHARE | TAG | (MASKING | NETWORK | SESSION | PASSWORD | ROW ACCESS) POLICY | INTEGRATION | RESOURCE MONITOR | CONNECTION | ALERT | ICEBERG TABLE | STREAMLIT) _if_exists? object (<...>)? _cascade?
 show = SHOW ...
 _files = (PUT | GET | LIST | LS | REMOVE | RM) ...
 unset = UNSET (name % "," | _names)
@@ -663,7 +675,7 @@ transaction += START TRANSACTION (ISOLATION LEVEL word word? | READ (ONLY | WRIT
 '''
 
 GRAMMARS["tsql"] = r'''
-_statement += declare | _flow | print | execute | create_procedure | create_type | go | raiserror | throw | waitfor | create_statistics | update_statistics | create_partition | alter_many | drop_many | bulk_insert | reconfigure | dbcc | create_synonym | create_login | cursor | kill | rename | backup | enable_trigger | disable_trigger
+_statement += copy_into | declare | _flow | print | execute | create_procedure | create_type | go | raiserror | throw | waitfor | create_statistics | update_statistics | create_partition | alter_many | drop_many | bulk_insert | reconfigure | dbcc | create_synonym | create_login | cursor | kill | rename | backup | enable_trigger | disable_trigger
 _as = AS
 create_table = CREATE TABLE object (<table_element %? ","> | AS query)? table_option* (AS query)?
 table_element += (INDEX name UNIQUE? (CLUSTERED | NONCLUSTERED)? COLUMNSTORE? <...>?) | PERIOD FOR SYSTEM_TIME <...>
@@ -700,6 +712,7 @@ _flow = IF ... | ELSE ... | WHILE ... | BEGIN TRY? ... | BEGIN CATCH ... | END (
 print = PRINT expr
 execute = (EXEC | EXECUTE) (any "=")? (object ... | <...> ... | AS ...) | REVERT
 go = GO number?
+copy_into = COPY INTO object <...>? FROM string ...
 raiserror = RAISERROR <...> (WITH name % ",")?
 throw = THROW (value "," value "," value)?
 waitfor = WAITFOR (DELAY | TIME) value

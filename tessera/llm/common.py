@@ -56,6 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(ARROW_BYTES, before)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, salts: int = 256) -> DataFrame:
     """Adds ``name``: a gapless rank from 0 within ``keys``, without gathering a key's rows in one task.
 

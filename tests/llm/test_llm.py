@@ -444,3 +444,24 @@ def test_pipeline(spark):
     left = docs.where(docs["doc_id"].isin(list(stays)))
     held = {r["doc_id"] for r in contamination.search(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in rows} == stays - held
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Each stage alone: nulls in any column, empty and long texts, equal rows, no rows, and more columns."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i}" for i in range(240)) + "."
+    rows = [(None, None, None, None, None, None, None), (1, "", "en", "s", 0, 1.0, 1), (2, good, "en", "s", len(good), 1.0, 1), (2, good, "en", "s", len(good), 1.0, 1), (None, good + " more", None, None, None, None, None), (3, "mail a@b.org " + "x " * 30_000, "en", "s", 1, 0.5, 2)]
+    table(spark, [(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table(spark, [(7, "an item that no text here holds at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = table(spark, rows)
+    want = {"quality rules": 3, "near-duplicates": 4, "decontamination": 6, "personal data": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert out.agg({"length": "sum"}).collect()[0][0] == sum(r["doc_tokens"] for r in out.where("start = 0").collect())
+        else:
+            assert out.columns == docs.columns and out.count() == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, docs.where("doc_id = 3"), str(tmp_path)).collect()}
+    assert masked[3].startswith("mail [EMAIL] x")

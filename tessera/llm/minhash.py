@@ -245,8 +245,9 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
 def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(c, n, z: a text, compressed) of each class wanted, one row for each."""
     nowhere = -(2**63)
-    rep = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(nowhere)).alias("id"), "h")).alias("one"))
-    rep = rep.select(F.col("one.id").alias("__id"), F.col("one.h").alias("__h")).distinct()
+    # summed up before anything is joined: a class of many copies sends one row from each task
+    rep = members.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(nowhere)).alias("id"), "h")).alias("one"))
+    rep = rep.join(wanted, "c", "left_semi").select(F.col("one.id").alias("__id"), F.col("one.h").alias("__h")).distinct()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nowhere)).alias("__id"), F.xxhash64("text").alias("__h"), "text").join(rep, ["__id", "__h"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

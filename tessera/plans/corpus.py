@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "infer_tests": lambda spark, sf_dir: analysis.infer(files(spark, sf_dir), _tests(spark, sf_dir)).select("kind", "path", "column", "value", "reason"),
     "skippable_tests": lambda spark, sf_dir: analysis.skippable(files(spark, sf_dir), _tests(spark, sf_dir)).where("path LIKE 'models/%'").select("kind", "path", "column", "action"),
     "render_placeholders": lambda spark, sf_dir: _rendered(spark, sf_dir).select("path", "rendered"),
+    "template_tokens": lambda spark, sf_dir: rendering.tokens(files(spark, sf_dir, TEMPLATES), "placeholder", {"col": "x", "v": 3}, "colon").where("slice = 'templated'").select("path", "raw", "source_start", "source_end"),
     "template_slices": lambda spark, sf_dir: rendering.slices(_rendered(spark, sf_dir)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars")),
 }
 
@@ -159,6 +160,8 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT unnest(['not_null', 'greater_than_or_equal']), path, 'n', unnest([NULL, '0']), 'count_star' FROM ({MODELS}) WHERE source LIKE '%COUNT(*)%'""",
     "skippable_tests": f"SELECT 'not_null' AS kind, path, {_COLUMN} AS \"column\", 'skip' AS action FROM ({MODELS}) UNION ALL SELECT 'unique', path, 'n', 'run' FROM ({MODELS})",
     "render_placeholders": f"SELECT path, replace(replace(replace(source, ':col', 'x'), ':v', '3'), ':none', 'none') AS rendered FROM ({TEMPLATES})",
+    "template_tokens": f"""SELECT path, p.raw, CAST(instr(replace(source, '::', '##'), p.mark) - 1 AS INTEGER) AS source_start, CAST(instr(replace(source, '::', '##'), p.mark) - 1 + len(p.mark) AS INTEGER) AS source_end
+      FROM ({TEMPLATES}), (VALUES (':col', 'x'), (':v', '3'), (':none', 'none')) AS p(mark, raw) WHERE contains(source, p.mark)""",
     "template_slices": f"""WITH p AS (SELECT path, regexp_extract_all(source, '::|[^:]:(col|none|v)') AS m, string_split_regex(replace(source, '::', '##'), ':(col|none|v)') AS parts FROM ({TEMPLATES}))
       SELECT path, 'literal' AS kind, count(*) AS n, CAST(sum(len(part)) AS BIGINT) AS chars FROM (SELECT path, unnest(parts) AS part FROM p) WHERE part <> '' GROUP BY path
       UNION ALL SELECT path, 'templated', len(parts) - 1, CAST(2 + CASE WHEN len(parts) > 3 THEN 4 ELSE 0 END AS BIGINT) FROM p""",

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .functions import config as configuration
-from .operators import analysis, lint, project
+from .operators import analysis, project
 from .sources import sql_files
 
 CONFIG = ".tessera"
@@ -51,9 +51,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         found = project.violations(files, configs, overrides, a.mode)
         if a.command == "fix":
-            s = project.settings(configuration.merge(configuration.DEFAULTS, *configs.values(), overrides))
             left = project.fix_exit_code(found)
-            done = lint.fixed(files, ",".join(s["rules"]), "", s["dialect"], s["options"]).cache()
+            done = project.fixed(files, configs, overrides).cache()
             if a.path == "-":
                 print("".join(r["source"] for r in done.collect()), end="")
             else:

@@ -114,6 +114,70 @@ def violations(files: DataFrame, configs: dict[str, dict] | None = None, overrid
     return rows.mapInArrow(run, FOUND)
 
 
+def _source_edits(source: str, done: Rendered, group: list[tuple[int, int, str]]) -> list[tuple[int, int, str]] | None:
+    """The edits of a group by places in the source; None if one of them touches a template or crosses its border."""
+    out = []
+    for a, b, new in group:
+        if not done.slices:
+            return group if not source else None
+        home = next((s for s in done.slices if s.kind == "literal" and s.start <= a and b <= s.end and (a < s.end or a == b)), None)
+        if home is None or sum(s.kind == "literal" and s.source_start == home.source_start for s in done.slices) > 1:
+            return None  # a literal that comes out more than once would change in all places
+        out.append((home.source_start + a - home.start, home.source_start + b - home.start, new))
+    return out
+
+
+def fix_source(source: str, s: dict, passes: int = 10) -> str:
+    """The source after its rules' edits, templates left as they are; what can't be parsed, or is changed for the worse or
+    back, stays."""
+    if s["templater"] == "raw":
+        return lint.fix_text(source, s["rules"], s["dialect"], s["options"], passes)
+
+    def read(text: str) -> tuple[Rendered, lint.File] | None:
+        try:
+            done = render(text, s["templater"], s["values"], s["style"], s["regex"])
+        except ValueError:
+            return None
+        f = lint.File(done.text, s["dialect"], s["options"])
+        return None if list(f.tree.root.walk("unparsable")) else (done, f)
+
+    for phase in ([r for r in s["rules"] if r not in lint.LAST and r != "JJ01"], [r for r in s["rules"] if r in lint.LAST]):
+        seen = {source}
+        for _ in range(passes):
+            now = read(source)
+            if now is None:
+                return source
+            done, f = now
+            masked = lint.suppressed(f)
+            groups = [g for code, t, _, edits in lint.checked(f, phase) if edits and not masked(code, t.line) and (g := _source_edits(source, done, edits)) is not None]
+            new = lint.splice(source, groups)
+            if new in seen or read(new) is None:
+                break
+            seen.add(new)
+            source = new
+    return source
+
+
+def fixed(files: DataFrame, configs: dict[str, dict] | None = None, overrides: dict | None = None) -> DataFrame:
+    """(path, source, changed): each file after its edits, under its own configuration and templater."""
+    configs = configs or {}
+    settings(configuration.merge(configuration.DEFAULTS, *configs.values(), overrides or {}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    new = fix_source(source or "", settings(configuration.merge(configuration.of_file(path, configs), configuration.inline(source or ""), overrides or {})))
+                except ValueError:
+                    new = source or ""
+                out.append((path, new, int(new != (source or ""))))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32()), strict=True)], ["path", "source", "changed"])
+
+    return files.select("path", "source").mapInArrow(run, "path string, source string, changed int")
+
+
 # formatters: each makes of the violations what one kind of reader takes, as (path, text) rows
 
 

@@ -63,6 +63,13 @@ def test_refuses_nonsense(sql):
     assert list(Tree(sql).root.walk("unparsable"))
 
 
+def test_what_began_well_keeps_its_tree():
+    tree = Tree("DROP TABLE a CASCADE nonsense here; SELECT 1")
+    first, second = tree.root.children("statement")
+    assert first.child("drop_statement").child("drop_table") and [tree.raw(n) for n in first.walk("unparsable")] == ["nonsense here"]
+    assert not list(second.walk("unparsable"))
+
+
 def test_statements_of_another_dialect_are_refused():
     for dialect, sql in [("ansi", TEXTS["snowflake"][3]), ("postgres", TEXTS["mysql"][2]), ("sqlite", TEXTS["hive"][2]), ("mysql", TEXTS["postgres"][3]), ("ansi", TEXTS["clickhouse"][2])]:
         assert list(Tree(sql, dialect).root.walk("unparsable")), (dialect, sql)

@@ -70,6 +70,26 @@ def test_templated_places_are_left_alone():
     assert lint_it("SELECT :x, count(0)\n", style) == [("CV04", "convention.count_rows", 1, 12)]
 
 
+def fix_it(source, conf="", rules="CV04,LT12,CP01"):
+    s = project.settings(config.merge(config.DEFAULTS, config.parse(conf), {"core": {"rules": rules}}))
+    return project.fix_source(source, s)
+
+
+def test_fixes_stay_out_of_templates():
+    jinja_on = "[tessera]\ntemplater = jinja\n[tessera:templater:jinja:context]\nf = count(1)"
+    assert fix_it("SELECT count(1), {{ f }} from t", jinja_on) == "SELECT count(*), {{ f }} FROM t\n"
+    assert fix_it("{% for i in [1, 2] %}SELECT count(1) from t;{% endfor %}\n", jinja_on) == "{% for i in [1, 2] %}SELECT count(1) from t;{% endfor %}\n"  # it comes out twice
+    assert fix_it("{% if true %}SELECT count(0) from t{% endif %}\n", jinja_on) == "{% if true %}SELECT count(*) FROM t{% endif %}\n"
+    assert fix_it("SELECT count({{ 1 }}) FROM t\n", jinja_on) == "SELECT count({{ 1 }}) FROM t\n" and fix_it("SELECT {{ nope() }} from t", jinja_on) == "SELECT {{ nope() }} from t"
+    assert fix_it("SELECT count(1) from t") == "SELECT count(*) FROM t\n" and fix_it("SELEC count(1) FRM") == "SELEC count(1) FRM"
+
+
+def test_fixed_projects(spark):
+    files = {"file:///p/a/x.sql": "SELECT count(1)", "file:///p/b/y.sql": "SELECT count(1)", "file:///p/b/z.sql": "-- tessera:dialect:klingon\nSELECT count(1)"}
+    got = {r["path"][8:]: (r["source"], r["changed"]) for r in project.fixed(sql_files.strings(spark, files), CONFIGS).collect()}
+    assert got == {"p/a/x.sql": ("SELECT count(1)\n", 1), "p/b/y.sql": ("SELECT count(*)\n", 1), "p/b/z.sql": (files["file:///p/b/z.sql"], 0)}
+
+
 def test_suppression():
     assert lint_it("SELECT count(1) -- noqa: convention.count_rows\n") == [] == lint_it("SELECT count(1) /* x -- noqa */\n")
     assert lint_it("SELECT count(1) -- because -- noqa: CV04, LT01\n") == []

@@ -38,9 +38,9 @@ LEXICONS: dict[str, Lexicon] = {
     "bigquery": Lexicon("ansi", ("'", '"'), ("`",), True, ("#",), prefixes="rRbB", triple=True, parameter=r"@@?[\w.]+|\?"),
     "clickhouse": Lexicon("ansi", backslash=True, comments=("#",), parameter=r"\{\w+:[^{}]+\}", clauses=(("prewhere", ""), ("settings", ""), ("format", ""), ("array", "join"), ("into", "outfile"), ("sample", ""))),
     "databricks": Lexicon("sparksql", ("'", '"'), ("`",), True, prefixes="rRxX", parameter=r":\w+|\?"),
-    "db2": Lexicon("ansi", clauses=(("with", "ur"), ("with", "cs"), ("with", "rs"), ("with", "rr"), ("optimize", "for"), ("for", "update"), ("for", "read"))),
+    "db2": Lexicon("ansi", letters="#", clauses=(("with", "ur"), ("with", "cs"), ("with", "rs"), ("with", "rr"), ("optimize", "for"), ("for", "update"), ("for", "read"))),
     "duckdb": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\w+|\?\d*", clauses=(("using", "sample"),)),
-    "exasol": Lexicon("ansi", identifier=('"',), square=True, clauses=(("preferring", ""), ("connect", "by"), ("start", "with"))),
+    "exasol": Lexicon("ansi", identifier=('"',), square=True, letters="#", clauses=(("preferring", ""), ("connect", "by"), ("start", "with"))),
     "greenplum": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=LOCKING),
     "hive": Lexicon("ansi", ("'", '"'), ("`",), True, parameter=r"\$\{[\w:.]+\}"),
     "materialize": Lexicon("postgres", identifier=('"',), dollar=True, escaping="eE", parameter=r"\$\d+", clauses=(("as", "of"), ("options", ""))),
@@ -54,5 +54,5 @@ LEXICONS: dict[str, Lexicon] = {
     "starrocks": Lexicon("mysql", ("'", '"'), ("`",), True, ("#",), parameter=r"@@?[\w.`]+|\?", clauses=LOCKING),
     "teradata": Lexicon("ansi", identifier=('"',), parameter=r":\w+|\?", clauses=(("sample", ""), ("expand", "on"), ("normalize", ""))),
     "trino": Lexicon("ansi", identifier=('"',), prefixes="xXuU", parameter=r"\?"),
-    "tsql": Lexicon("ansi", identifier=('"',), square=True, prefixes="nN", parameter=r"@@?\w+|\$\(\w+\)|##?\w+", clauses=(("option", "("), ("for", "xml"), ("for", "json"), ("for", "browse"))),
+    "tsql": Lexicon("ansi", identifier=('"',), square=True, letters="#", prefixes="nN", parameter=r"@@?\w+|\$\(\w+\)|##?\w+", clauses=(("option", "("), ("for", "xml"), ("for", "json"), ("for", "browse"))),
 }

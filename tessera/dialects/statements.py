@@ -57,7 +57,7 @@ table_option = COMMENT "="? string | ON COMMIT (PRESERVE | DELETE) ROWS? | ON CO
 
 alter_table = ALTER TABLE _if_exists? object alter_action % ","
 alter_action = ALTER COLUMN _if_exists? name (SET OPTIONS <...> | DROP NOT NULL | DROP DEFAULT | SET DEFAULT value | SET DATA TYPE type) | SET OPTIONS <...> | ADD (COLUMN? _if_not_exists? column_definition _position? | table_constraint) | DROP COLUMN? _if_exists? name _cascade? | DROP CONSTRAINT _if_exists? name _cascade? | DROP PRIMARY KEY
-  | ALTER COLUMN? name (TYPE type | SET DATA TYPE type | SET DEFAULT value | DROP DEFAULT | (SET | DROP) NOT NULL) | MODIFY COLUMN? column_definition _position? | CHANGE COLUMN? name column_definition
+  | ALTER COLUMN? name (TYPE type | SET DATA TYPE type | SET DEFAULT expr | DROP DEFAULT | (SET | DROP) NOT NULL) | MODIFY COLUMN? column_definition _position? | CHANGE COLUMN? name column_definition
   | RENAME (TO | AS)? object | RENAME COLUMN _if_exists? name TO name | RENAME CONSTRAINT name TO name | SET SCHEMA name | OWNER TO name
 _position = FIRST | AFTER name
 drop_table = DROP (EXTERNAL | TEMPORARY)? TABLE _if_exists? object % "," (_cascade | CASCADE CONSTRAINTS | PURGE)*
@@ -168,7 +168,7 @@ access += (GRANT | REVOKE) ..( TO | FROM ) (TO | FROM) grantee % "," ...
 create_dictionary = CREATE _or_replace? DICTIONARY _if_not_exists? object _on_cluster? <...> (PRIMARY KEY name % "," | (SOURCE | LIFETIME | LAYOUT | RANGE | SETTINGS) <...> | COMMENT string)*
 drop_dictionary = DROP DICTIONARY _if_exists? object SYNC?
 drop_table = DROP TEMPORARY? TABLE _if_exists? object % "," _on_cluster? (SYNC | NO DELAY)*
-drop_quota = DROP (QUOTA | SETTINGS? PROFILE | ROW POLICY) _if_exists? name % "," _on_cluster?
+drop_quota = DROP (QUOTA | name? PROFILE | ROW POLICY) _if_exists? name % "," _on_cluster?
 insert = INSERT INTO (TABLE? FUNCTION object <...> | TABLE? object) _names? (SETTINGS (name "=" value) % ",")? (FORMAT name ... | _insert_source)
 system = SYSTEM (START | STOP | FLUSH | RELOAD | DROP | SYNC | RESTART | RESTORE | SHUTDOWN | UNFREEZE | KILL) ...
 optimize = OPTIMIZE TABLE object _on_cluster? (PARTITION expr)? FINAL? (DEDUPLICATE (BY name % ",")?)?
@@ -178,7 +178,7 @@ attach = (ATTACH | DETACH) (TABLE | DATABASE | VIEW | DICTIONARY) (_if_exists |
 kill = KILL (QUERY | MUTATION) where (SYNC | ASYNC | TEST)?
 show = SHOW ...
 alter_table = ALTER TABLE object _on_cluster? alter_action % ","
-alter_action += COMMENT COLUMN _if_exists? name string | MODIFY COLUMN _if_exists? name REMOVE word | MODIFY COLUMN? name MODIFY SETTING ... | MODIFY COMMENT string | (DELETE where | UPDATE assignment % "," where) | (ADD | DROP | CLEAR | MATERIALIZE) (INDEX | PROJECTION | CONSTRAINT | COLUMN) ... | (DROP | DETACH | ATTACH | FREEZE | FETCH | MOVE | REPLACE) PARTITION ... | MODIFY (TTL expr | ORDER BY expr | SETTING (name "=" value) % "," | COLUMN? column_definition) | RESET SETTING name % ","
+alter_action += COMMENT (COLUMN _if_exists? name)? string | MODIFY? COMMENT string | MODIFY COLUMN _if_exists? name REMOVE word | MODIFY COLUMN? name MODIFY SETTING ... | MODIFY COMMENT string | (DELETE where | UPDATE assignment % "," where) | (ADD | DROP | CLEAR | MATERIALIZE) (INDEX | PROJECTION | CONSTRAINT | COLUMN) ... | (DROP | DETACH | ATTACH | FREEZE | FETCH | MOVE | REPLACE) PARTITION ... | MODIFY (TTL expr | ORDER BY expr | SETTING (name "=" value) % "," | COLUMN? column_definition) | RESET SETTING name % ","
 '''
 
 GRAMMARS["hive"] = r'''
@@ -225,7 +225,7 @@ drop_function = DROP TEMPORARY? FUNCTION _if_exists? object
 _constraint = expectation
 create_widget = CREATE WIDGET word name DEFAULT string (CHOICES query)? | REMOVE WIDGET name
 analyze += ANALYZE TABLES (IN object)? COMPUTE STATISTICS NOSCAN?
-alter_action += SET SERDE string (WITH SERDEPROPERTIES <...>)? | CHANGE COLUMN? name column_definition _position? | ADD (COLUMN | COLUMNS) object type column_constraint* _position? | (ADD | DROP | REPLACE) PARTITION FIELD ... | WRITE ... | (ALTER | CHANGE) COLUMN? object (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
+alter_action += SET SERDE string (WITH SERDEPROPERTIES <...>)? | CHANGE COLUMN? object name type column_constraint* _position? | RENAME COLUMN object TO object | ALTER COLUMN? object COMMENT string | ADD (COLUMN | COLUMNS) object type column_constraint* _position? | (ADD | DROP | REPLACE) PARTITION FIELD ... | WRITE ... | (ALTER | CHANGE) COLUMN? object (COMMENT string | _position | (SET | DROP) NOT NULL | TYPE type | SET DEFAULT value | DROP DEFAULT) | (ADD | DROP | REPLACE) (COLUMN | COLUMNS) _if_exists? <...> | (ADD | DROP | REPLACE) COLUMNS (column_definition _position?) % "," | DROP CONSTRAINT ... | ADD CONSTRAINT ...
 cache = CACHE LAZY? TABLE object (OPTIONS <...>)? (AS? query)?
 uncache = UNCACHE TABLE _if_exists? object
 refresh = REFRESH (TABLE | FUNCTION | MATERIALIZED VIEW | STREAMING TABLE)? (object | string)
@@ -238,7 +238,7 @@ set_statement += SET object | SET TIME ZONE ... | SET (VARIABLE | VAR)? (object
 _delta = VACUUM (object | string) (RETAIN number HOURS)? (DRY RUN)? | OPTIMIZE (object | string) where? (ZORDER BY <name % ",">)? | RESTORE TABLE? object TO? (VERSION | TIMESTAMP) AS OF value
   | GENERATE name FOR TABLE (object | string) | CONVERT TO DELTA object (NO STATISTICS)? (PARTITIONED BY <...>)? (NO STATISTICS)? | apply_changes
 apply_changes = APPLY CHANGES INTO object FROM (STREAM <object> | object) KEYS <object % ","> apply_part+
-apply_part = IGNORE NULL UPDATES | where | APPLY AS (DELETE | TRUNCATE) WHEN expr | SEQUENCE BY expr | COLUMNS (<...> | "*" EXCEPT <...>) | STORED AS SCD TYPE number | TRACK HISTORY ON ("*" EXCEPT)? <...>
+apply_part = IGNORE NULL UPDATES | where | APPLY AS (DELETE | TRUNCATE) WHEN expr | SEQUENCE BY expr | COLUMNS (<...> | "*" EXCEPT <...>) | STORED AS SCD TYPE number | TRACK HISTORY ON (("*" EXCEPT)? <...> | name % ",")
 create_function = CREATE _or_replace? TEMPORARY? FUNCTION _if_not_exists? object (AS string (USING ((JAR | FILE | ARCHIVE) string) % ",")? | <(name type (DEFAULT value)? (COMMENT string)?) % ","> function_part* | <> function_part*)
 function_part += RETURNS (TABLE <...>? | type) | RETURN (query | expr) | CONTAINS SQL | READS SQL DATA
 describe = (DESCRIBE | DESC) (EXTENDED | FORMATTED | TABLE | DATABASE | SCHEMA | FUNCTION | HISTORY | DETAIL | QUERY)* (object partition? object? | string | query) (LIMIT number)?
@@ -356,7 +356,7 @@ create_type = CREATE TYPE object AS (ENUM <...> | type)
 '''
 
 GRAMMARS["exasol"] = r'''
-_statement += create_script | execute_script | create_connection | create_virtual_schema | flush | import | export | open_schema | recompress | kill | create_consumer_group | impersonate | alter_many | drop_many | preload | rename
+_statement += _exa_script | create_script | execute_script | create_connection | create_virtual_schema | flush | import | export | open_schema | recompress | kill | create_consumer_group | impersonate | alter_many | drop_many | preload | rename
 create_table = CREATE _or_replace? TABLE _if_not_exists? object (LIKE object ((INCLUDING | EXCLUDING) word)* | <(table_element | DISTRIBUTE BY name % "," | PARTITION BY name % ",") % ","> | AS query (WITH NO? DATA)?) table_option*
 table_option += COMMENT IS string
 column_constraint += IDENTITY number? | COMMENT IS string | DISABLE | ENABLE
@@ -385,7 +385,7 @@ drop_many = DROP (SCRIPT | CONNECTION | CONSUMER GROUP | ADAPTER SCRIPT) _if_exi
 create_user = CREATE USER name IDENTIFIED (BY (name | string) | AT LDAP AS string ... | BY KERBEROS PRINCIPAL string | BY OPENID SUBJECT string)
 merge = MERGE INTO object alias? USING merge_source ON expr merge_match+
 create_function = CREATE _or_replace? FUNCTION object <...> RETURN type (IS | AS)? ...
-_exasol_word = PREFERRING | WHERE
+_exa_script = BEGIN ... | name ":" "=" expr | RETURN expr | END any? | IF ... | FOR ... | WHILE ... | ELSE ...
 delete = DELETE "*"? FROM object !PREFERRING alias? where? (PREFERRING ...)? | DELETE "*"? FROM object PREFERRING ...
 '''
 

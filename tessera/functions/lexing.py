@@ -30,7 +30,7 @@ def pattern(dialect: str) -> re.Pattern:
     x = lexicon(dialect)
     escaped, plain = "(?:[^{q}\\\\]|\\\\.|{q}{q})*", "(?:[^{q}]|{q}{q})*"
     quoted = lambda q, inner: q + inner.replace("{q}", q) + q
-    literals = [f"[{x.escaping}]" + quoted("'", escaped)] if x.escaping else []
+    literals = [f"[{x.escaping}]" + quoted("'", escaped), "[uU]&" + quoted("'", plain)] if x.escaping else []
     if x.triple:
         literals += [f"(?:[{x.prefixes}]{{1,2}})?{q * 3}.*?{q * 3}" for q in x.literal]
     literals += [f"(?:[{x.prefixes}]{{1,2}}(?={q}))?" + quoted(q, escaped if x.backslash else plain) for q in x.literal]

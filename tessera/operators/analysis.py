@@ -77,9 +77,14 @@ class Scopes:
     def query(self, tree: Tree, q: Node, ctes: dict[str, Source], outer: list[Source]) -> list[Column]:
         ctes = dict(ctes)
         for cte in q.children("cte"):
+            if cte.child("name") is None:
+                continue
             name = plain(tree.raw(cte.child("name")))
             body = cte.child("query")
             own = cte.child("column_list")
+            if body is None:  # a statement that changes rows, or a value: its outputs aren't followed
+                ctes[name.lower()] = Source(name, None, name)
+                continue
             names = [plain(tree.raw(k)) for k in own.kids] if own else None
             if names:  # a recursive reference knows its names
                 ctes[name.lower()] = Source(name, [Column(n, "", "expression", source_name=name) for n in names])

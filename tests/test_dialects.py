@@ -5,6 +5,7 @@ import pytest
 from tessera import dialects
 from tessera.functions import grammar
 from tessera.functions.parsing import Tree
+from tessera.operators import analysis, lint
 
 #: For each dialect: texts that it reads whole.
 TEXTS = {
@@ -63,6 +64,13 @@ def test_refuses_nonsense(sql):
     assert list(Tree(sql).root.walk("unparsable"))
 
 
+def test_changes_within_queries():
+    sql = "WITH gone AS (DELETE FROM t WHERE a = 1 RETURNING b), n (x) AS (SELECT 1) SELECT b, x FROM gone, n\n"
+    assert not list(Tree(sql, "postgres").root.walk("unparsable"))
+    assert analysis.output_columns(sql, "postgres") == (["b", "x"], [])
+    assert not [x for x in lint.lint_text(sql, lint.selected("all"), "postgres") if "exception" in x[3]]
+
+
 def test_what_began_well_keeps_its_tree():
     tree = Tree("DROP TABLE a CASCADE nonsense here; SELECT 1")
     first, second = tree.root.children("statement")

@@ -197,7 +197,8 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
     floor = share - SLACK
     sketches = sketched.where(F.col("values").isNotNull()).select("c", "n", F.explode("values").alias("value"))
     listed = cut(_rarest(sketches, F.least("n", F.lit(SKETCH)), floor))
-    lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("length"))
+    # lists are counted, written and only then joined, so that a long list's rows can be split over tasks
+    lengths = cut(listed.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
     # places in a sketch say nothing certain of the full set
     short = listed.withColumn("at", F.lit(1)).join(lengths.where(F.col("length").between(2, LONG)), "value")
     near = cut(_pairs(short, short.where("true"), share))
@@ -220,7 +221,7 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
 
     full = texts.join(crowd, "c", "left_semi").select("c", "n", "z").mapInArrow(run, "c long, n int, values array<long>").select("c", "n", F.explode("values").alias("value"))
     deep = cut(_rarest(full, F.col("n"), share))
-    lengths = deep.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("own", "c")).alias("hub")).where("length > 1").select("value", "length", F.col("hub.c").alias("hub"))
+    lengths = cut(deep.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("own", "c")).alias("hub")).where("length > 1").select("value", "length", F.col("hub.c").alias("hub")))
     deep = cut(deep.join(lengths, "value"))
     brief = deep.where(F.col("length") <= LONG)
     to_hub = deep.where((F.col("length") > LONG) & (F.col("c") != F.col("hub"))).select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, editor, lint, rendering
+from . import rule_corpus
 
 #: One model for each part; what is in it follows from the key.
 MODELS = """
@@ -62,6 +63,8 @@ KINDS = ("select", "join", "column_ref", "function", "alias", "table_ref", "wher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lint_files": _found,
+    "lint_rules": rule_corpus.lint_rules,
+    "fix_rules": rule_corpus.fix_rules,
     "lex_files": lambda spark, sf_dir: lint.tokens(files(spark, sf_dir)),
     "fix_files": lambda spark, sf_dir: lint.fixed(files(spark, sf_dir), "CV04,LT12,LT13"),
     "lint_edits": lambda spark, sf_dir: lint.edits(files(spark, sf_dir), "CV04"),
@@ -136,6 +139,8 @@ _TABLE = "regexp_extract(source, 'FROM (t[0-9]+)', 1)"
 
 ORACLE: dict[str, str] = {
     "lint_files": f"{FOUND} SELECT * FROM found",
+    "lint_rules": rule_corpus.oracle(),
+    "fix_rules": rule_corpus.mended(),
     "lex_files": f"{TOKENS} SELECT path, ord, kind, raw, start, line, pos FROM tok",
     "fix_files": f"SELECT path, fixed AS source, CAST(fixed <> source AS INTEGER) AS changed FROM (SELECT path, source, concat(regexp_replace(trim(source, chr(10)), 'COUNT\\([01]\\)', 'COUNT(*)'), chr(10)) AS fixed FROM ({MODELS}))",
     "lint_edits": f"SELECT path, 'CV04' AS code, CAST(instr(source, 'COUNT(') + 5 AS INTEGER) AS start, CAST(instr(source, 'COUNT(') + 6 AS INTEGER) AS \"end\", '*' AS text FROM ({MODELS}) WHERE regexp_matches(source, 'COUNT\\([01]\\)')",

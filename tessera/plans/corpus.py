@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, editor, lint, rendering
-from . import rule_corpus
+from . import dialect_corpus, rule_corpus
 
 #: One model for each part; what is in it follows from the key.
 MODELS = """
@@ -63,6 +63,7 @@ KINDS = ("select", "join", "column_ref", "function", "alias", "table_ref", "wher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lint_files": _found,
+    "parse_statements": dialect_corpus.parse_statements,
     "lint_rules": rule_corpus.lint_rules,
     "fix_rules": rule_corpus.fix_rules,
     "lex_files": lambda spark, sf_dir: lint.tokens(files(spark, sf_dir)),
@@ -139,6 +140,7 @@ _TABLE = "regexp_extract(source, 'FROM (t[0-9]+)', 1)"
 
 ORACLE: dict[str, str] = {
     "lint_files": f"{FOUND} SELECT * FROM found",
+    "parse_statements": dialect_corpus.oracle(),
     "lint_rules": rule_corpus.oracle(),
     "fix_rules": rule_corpus.mended(),
     "lex_files": f"{TOKENS} SELECT path, ord, kind, raw, start, line, pos FROM tok",

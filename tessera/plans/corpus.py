@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, editor, lint, rendering
+from ..operators import analysis, editor, layout, lint, rendering
 from . import dialect_corpus, rule_corpus
 
 #: One model for each part; what is in it follows from the key.
@@ -39,6 +39,13 @@ UNION ALL SELECT 'greater_than', concat('t', p_size), 'v', '0' FROM part GROUP B
 UNION ALL SELECT 'unique', path, 'n', NULL FROM ({MODELS})
 UNION ALL SELECT 'not_null', path, regexp_extract(source, 'c[0-9]+', 0), NULL FROM ({MODELS})
 """
+#: A laid out text and the same with its spaces, line breaks and indents in disorder.
+TIDY = "concat('SELECT', chr(10), '    a', p_partkey, ',', chr(10), '    sum(b) AS s', chr(10), 'FROM t', p_size, ' AS t', chr(10), 'INNER JOIN u', chr(10), '    ON t.k = u.k', chr(10), '        AND t.x > -1', chr(10), 'WHERE t.y IN (1, 2)', chr(10))"
+MESS = f"SELECT concat('l/', p_partkey) AS path, replace(replace(replace(replace(replace({TIDY}, ', 2', ' ,2'), ' AS s', '   AS s  '), '    ON', '  ON'), concat(chr(10), '        AND t.x > -1'), concat(' AND', chr(10), 't.x > - 1')), concat(',', chr(10), '    sum('), concat(chr(10), CASE WHEN p_partkey % 2 = 0 THEN ' , ' ELSE ',' END, 'sum  (')) AS source FROM part"
+#: Templates that say of themselves what they give.
+JINJA = """SELECT concat('j/', p_partkey) AS path, concat('SELECT {% if ', p_partkey, ' is even %}a{% else %}b{% endif %}, {{ ', p_size, ' * 2 + 1 }}{% set q = [', p_size, ', 7] %}{% for i in q %}, c{{ i }}{% if loop.last %} AS z{% endif %}{% endfor %}{# gone #} FROM {{ name | upper }}{%- if missing is defined %} WHERE 1{% endif %}') AS source FROM part"""
+FORMATTED = "SELECT concat('f/', p_partkey) AS path, concat('SELECT a', p_size, ', {{x}} FROM {t} WHERE n = {n:03d}') AS source FROM part"
+STYLED = {"colon": ":x", "colon_nospaces": ":x", "numeric_colon": ":1", "at": "@x", "pyformat": "%(x)s", "dollar": "${x}", "flyway_var": "${xy}", "question_mark": "?", "numeric_dollar": "$1", "percent": "%s", "ampersand": "&x", "apache_camel": ":#${x}"}
 RULES = "CV04,CV05,LT05,LT12,LT13"
 
 
@@ -59,6 +66,16 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.rendered(files(spark, sf_dir, TEMPLATES), "placeholder", {"col": "x", "v": 3}, "colon")
 
 
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Spark would put a variable in the place of a dollar sign and a name in brackets
+    marks = {style: mark.replace("$", "', chr(36), '") for style, mark in STYLED.items()}
+    parts = [rendering.rendered(files(spark, sf_dir, f"SELECT concat('{style}/', p_partkey) AS path, concat('SELECT a', p_size, ' FROM t WHERE b = {mark}') AS source FROM part"), "placeholder", {"x": 5, "xy": 5, "1": 5}, style) for style, mark in marks.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("path", "rendered")
+
+
 KINDS = ("select", "join", "column_ref", "function", "alias", "table_ref", "where", "group_by", "statement")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,6 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "query_scopes": lambda spark, sf_dir: analysis.scopes(files(spark, sf_dir, BARE)).select("path", "kind", "alias", "table", "ord"),
     "infer_tests": lambda spark, sf_dir: analysis.infer(files(spark, sf_dir), _tests(spark, sf_dir)).select("kind", "path", "column", "value", "reason"),
     "skippable_tests": lambda spark, sf_dir: analysis.skippable(files(spark, sf_dir), _tests(spark, sf_dir)).where("path LIKE 'models/%'").select("kind", "path", "column", "action"),
+    "reflow_sql": lambda spark, sf_dir: layout.reflowed(files(spark, sf_dir, MESS)),
+    "depth_map": lambda spark, sf_dir: layout.depths(files(spark, sf_dir)).where(F.element_at("kinds", -1) == "column_ref").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least")),
+    "render_jinja": lambda spark, sf_dir: rendering.rendered(files(spark, sf_dir, JINJA), "jinja", {"name": "tab"}).select("path", "rendered"),
+    "render_styles": _styled,
+    "render_format": lambda spark, sf_dir: rendering.rendered(files(spark, sf_dir, FORMATTED), "python", {"t": "tab", "n": 7}).select("path", "rendered"),
     "render_placeholders": lambda spark, sf_dir: _rendered(spark, sf_dir).select("path", "rendered"),
     "template_tokens": lambda spark, sf_dir: rendering.tokens(files(spark, sf_dir, TEMPLATES), "placeholder", {"col": "x", "v": 3}, "colon").where("slice = 'templated'").select("path", "raw", "source_start", "source_end"),
     "template_slices": lambda spark, sf_dir: rendering.slices(_rendered(spark, sf_dir)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars")),
@@ -166,6 +188,11 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'greater_than', path, 'n', '0', 'underlying_test_with_operation:max' FROM ({MODELS}) WHERE source LIKE '%MAX(%'
       UNION ALL SELECT unnest(['not_null', 'greater_than_or_equal']), path, 'n', unnest([NULL, '0']), 'count_star' FROM ({MODELS}) WHERE source LIKE '%COUNT(*)%'""",
     "skippable_tests": f"SELECT 'not_null' AS kind, path, {_COLUMN} AS \"column\", 'skip' AS action FROM ({MODELS}) UNION ALL SELECT 'unique', path, 'n', 'run' FROM ({MODELS})",
+    "reflow_sql": f"SELECT concat('l/', p_partkey) AS path, {TIDY} AS source FROM part",
+    "depth_map": f"SELECT path, CAST(3 * {_COUNTS['column_ref']} AS BIGINT) AS n, 7 AS least FROM ({MODELS})",
+    "render_jinja": "SELECT concat('j/', p_partkey) AS path, concat('SELECT ', CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END, ', ', p_size * 2 + 1, ', c', p_size, ', c7 AS z FROM TAB') AS rendered FROM part",
+    "render_format": "SELECT concat('f/', p_partkey) AS path, concat('SELECT a', p_size, ', {x} FROM tab WHERE n = 007') AS rendered FROM part",
+    "render_styles": " UNION ALL ".join(f"SELECT concat('{style}/', p_partkey) AS path, concat('SELECT a', p_size, ' FROM t WHERE b = 5') AS rendered FROM part" for style in STYLED),
     "render_placeholders": f"SELECT path, replace(replace(replace(source, ':col', 'x'), ':v', '3'), ':none', 'none') AS rendered FROM ({TEMPLATES})",
     "template_tokens": f"""SELECT path, p.raw, CAST(instr(replace(source, '::', '##'), p.mark) - 1 AS INTEGER) AS source_start, CAST(instr(replace(source, '::', '##'), p.mark) - 1 + len(p.mark) AS INTEGER) AS source_end
       FROM ({TEMPLATES}), (VALUES (':col', 'x'), (':v', '3'), (':none', 'none')) AS p(mark, raw) WHERE contains(source, p.mark)""",

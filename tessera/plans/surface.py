@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import lint_job
 from . import changes, ranking, rewriting
 from .relational import views
 
@@ -68,6 +69,13 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.as_of(log, ["k"], "version", F.col("ts") <= F.lit("2024-01-03 12:00:00").cast("timestamp"), "gone").select("k", "v")
 
 
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """APPLY CHANGES INTO: the orders of a customer as changes of a row, in the order of their keys."""
+    target = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_acctbal AS v")
+    new = _t(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_totalprice AS v", "o_orderkey AS seq", "o_orderstatus = 'F' AS gone")
+    return lint_job.apply_changes(target, new, "k", "seq", "gone")
+
+
 #: The pattern: a view, one click or more, a purchase, among the views, clicks and purchases of a user.
 MATCH = """
 WITH e AS (SELECT user_id, event_id, ts, event_type FROM events WHERE event_type IN ('view', 'click', 'purchase')),
@@ -118,6 +126,7 @@ SQL: dict[str, tuple[str | Callable[[SparkSession, str], DataFrame], str]] = {
     "json_path": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, from_json(props, 'k INT').k AS j, try_variant_get(parse_json(props), '$.k', 'int') AS v FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract(props, '$.k') AS INTEGER) AS j, CAST(props::JSON ->> 'k' AS INTEGER) AS v FROM events"),
     "collations": ("SELECT n_nationkey, n_name COLLATE UTF8_LCASE = 'france' AS f, contains(n_name COLLATE UTF8_LCASE, 'an') AS c FROM nation", "SELECT n_nationkey, n_name COLLATE NOCASE = 'france' AS f, contains(lower(n_name), 'an') AS c FROM nation"),
     "time_zones": ("SELECT event_id, convert_timezone('UTC', 'Europe/Berlin', to_timestamp_ntz(ts)) AS berlin, hour(from_utc_timestamp(ts, 'Asia/Tokyo')) AS tokyo FROM events", "SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin' AS berlin, hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo') AS tokyo FROM events"),
+    "apply_changes": (apply_changes, "WITH n AS (SELECT o_custkey AS k, o_totalprice AS v, o_orderstatus AS s FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT k, v FROM n WHERE s <> 'F' UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM n)"),
     "merge_tables": (merge_tables, "WITH s AS (SELECT o_custkey AS k, round(max(o_totalprice), 2) AS v FROM orders GROUP BY 1 UNION ALL SELECT -1 - r_regionkey, r_regionkey FROM region) SELECT k, v FROM s UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM s) EXCEPT ALL SELECT k, v FROM s WHERE v < 100000 AND k IN (SELECT c_custkey FROM customer)"),
     "update_rows": (update_rows, "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part"),
     "delete_rows": (delete_rows, "SELECT p_partkey, p_size FROM part WHERE NOT coalesce(nullif(p_size, 7) > 10, false)"),

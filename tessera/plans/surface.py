@@ -76,6 +76,11 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint_job.apply_changes(target, new, "k", "seq", "gone")
 
 
+def file_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file named in the text itself."""
+    return spark.sql(f"SELECT n_regionkey, count(*) AS n FROM parquet.`{sf_dir}/nation.parquet` GROUP BY n_regionkey")
+
+
 #: The pattern: a view, one click or more, a purchase, among the views, clicks and purchases of a user.
 MATCH = """
 WITH e AS (SELECT user_id, event_id, ts, event_type FROM events WHERE event_type IN ('view', 'click', 'purchase')),
@@ -92,6 +97,7 @@ SELECT user_id, ids[i] AS first_id, len(regexp_extract(s[i:], '^vc+p')) - 2 AS c
 HIERARCHY = "WITH RECURSIVE edges(k, parent) AS (SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey) FROM supplier), t(k, lvl, root) AS (SELECT concat('r', r_regionkey), 1, concat('r', r_regionkey) FROM region UNION ALL SELECT e.k, lvl + 1, root FROM t JOIN edges e ON e.parent = t.k) SELECT k, lvl, root FROM t"
 
 SQL: dict[str, tuple[str | Callable[[SparkSession, str], DataFrame], str]] = {
+    "file_reference": (file_reference, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"),
     "sample_rows": ("SELECT count(*) AS n FROM (SELECT * FROM orders TABLESAMPLE (50 ROWS))", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 50)"),
     "sample_repeatable": ("SELECT a.n = b.n AS same, a.n BETWEEN c.n * 0.05 AND c.n * 0.15 AS near FROM (SELECT count(*) AS n FROM orders TABLESAMPLE (10 PERCENT) REPEATABLE (42)) a, (SELECT count(*) AS n FROM orders TABLESAMPLE (10 PERCENT) REPEATABLE (42)) b, (SELECT count(*) AS n FROM orders) c", "SELECT count(*) = count(o_orderkey) AS same, count(*) > 0 AS near FROM orders"),
     "time_travel": (time_travel, "SELECT k, v FROM (SELECT user_id AS k, round(value, 2) AS v, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-03 12:00:00' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"),

@@ -227,7 +227,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(rows: DataFrame, packed: DataFrame) -> DataFrame:
     """(id, h, lo, hi): bytes covered by repeated windows, for rows (id, h, text); ``packed`` has the texts compressed."""
-    found = rows.mapInArrow(_runs, RUNS)
+    found = cut(rows.mapInArrow(_runs, RUNS))  # hashing every text is the dear part, so it is done once
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loop")).where("n > 1 or loop").select("anchor")
     found = cut(found.join(twice, "anchor"))
     kinds = cut(found.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loop"), F.min(F.struct("id", "h", "lo", "hi")).alias("one")))

@@ -234,7 +234,7 @@ def _grouped(docs: DataFrame, words: int, share: float) -> DataFrame:
     roots = components(links.unionByName(more))
     classes = members.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row")).alias("least"))
     rooted = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("least")))
     # written for the same reason: a class may have a third of all rows
     named = cut(rooted.select("c", "root").join(least, "root").select("c", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")))
     out = members.join(named, "c", "left")

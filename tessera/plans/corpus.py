@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "semantic_tokens": lambda spark, sf_dir: editor.semantic_tokens(files(spark, sf_dir)).groupBy("path", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("units")),
     "syntax_trees": lambda spark, sf_dir: analysis.trees(files(spark, sf_dir)).where(F.col("kind").isin(*KINDS)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")),
     "tree_descendants": lambda spark, sf_dir: analysis.descendants(analysis.trees(files(spark, sf_dir)), ["select"], ["column_ref"], ("query",)).groupBy("path").agg(F.count(F.lit(1)).alias("n")),
-    "tree_ancestors": lambda spark, sf_dir: analysis.ancestors(files(spark, sf_dir)).where(F.array_contains("kinds", "select") & (F.element_at("kinds", -1) == "column_ref")).groupBy("path").agg(F.count(F.lit(1)).alias("n")),
+    "tree_ancestors": lambda spark, sf_dir: analysis.ancestors(files(spark, sf_dir), below=("column_ref",)).where(F.array_contains("kinds", "select") & (F.element_at("kinds", -1) == "column_ref")).groupBy("path").agg(F.count(F.lit(1)).alias("n")),
     "tree_kind_sets": lambda spark, sf_dir: analysis.kind_sets(files(spark, sf_dir)).where("node = 0").select("path", F.array_contains("kinds", "join").alias("joins"), F.array_contains("kinds", "comment").alias("comments"), F.array_contains("kinds", "unparsable").alias("broken")),
     "output_columns": lambda spark, sf_dir: analysis.columns(files(spark, sf_dir)),
     "lineage_graph": lambda spark, sf_dir: analysis.lineage(files(spark, sf_dir)).groupBy("path", "output").agg(F.count(F.lit(1)).alias("n"), F.max("reference").alias("reference")),
